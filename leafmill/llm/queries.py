@@ -1,0 +1,33 @@
+"""Queries of the training-text problems, registered as pN_..."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.llm import confusables
+from leafmill.llm import sql as S
+from leafmill.registry import Registry
+from leafmill.session import table
+
+REGISTRY = Registry()
+
+
+# ---- problem 1 ----
+@REGISTRY.add("p1_found", S.P1_FOUND)
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source_table"), F.col("doc_id").cast("string").alias("record_key"), F.col("text").alias("_t"))
+    issues = table(spark, sf_dir, "pilot_issues").select(F.lit("pilot_issues").alias("source_table"), F.col("id").alias("record_key"), F.col("magazine").alias("_t"))
+    return docs.unionByName(issues).where(confusables.is_inconsistent(F.col("_t"))).select("source_table", "record_key")
+
+
+@REGISTRY.add("p1_skeleton_groups")
+def p1_skeleton_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusables.skeleton_groups(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("row_key", "doc_id")
+
+
+@REGISTRY.add("p1_issue_magazine")
+def p1_issue_magazine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each issue's magazine in one consistent form, with the number of issues of that magazine."""
+    g = confusables.skeleton_groups(table(spark, sf_dir, "pilot_issues"), "id", "magazine")
+    return g.select(F.col("row_key").alias("id"), F.col("consistent_text").alias("magazine"), F.col("class_size").alias("n_issues"))
