@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -57,3 +58,15 @@ def is_under(df: DataFrame, limit_bytes: int) -> bool:
     """True if the optimizer can bound df's size by limit_bytes; guards every broadcast of a table."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(size.toString()) <= limit_bytes
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_leafmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="leafmill-code-")
+    archive = shutil.make_archive(os.path.join(folder, "leafmill_package"), "zip", os.path.dirname(root), os.path.basename(root))
+    sc.addPyFile(archive)
+    sc._leafmill_shipped = True
