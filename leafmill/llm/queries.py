@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import confusables
+from leafmill.llm import confusables, neardup, repetition
 from leafmill.llm import sql as S
 from leafmill.registry import Registry
 from leafmill.session import table
@@ -31,3 +31,30 @@ def p1_issue_magazine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each issue's magazine in one consistent form, with the number of issues of that magazine."""
     g = confusables.skeleton_groups(table(spark, sf_dir, "pilot_issues"), "id", "magazine")
     return g.select(F.col("row_key").alias("id"), F.col("consistent_text").alias("magazine"), F.col("class_size").alias("n_issues"))
+
+
+# ---- problem 2 ----
+@REGISTRY.add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@REGISTRY.add("p2_groups")
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# ---- problem 6 ----
+@REGISTRY.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repeated_share(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("repeated_share") >= repetition.REPEATED).select("doc_id").distinct()
+
+
+@REGISTRY.add("p6_repeated_share")
+def p6_repeated_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repeated_share(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@REGISTRY.add("p6_line_frequency", S.P6_LINE_FREQUENCY)
+def p6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.line_frequency(table(spark, sf_dir, "documents"), "doc_id", "source", "text")

@@ -12,3 +12,12 @@ WITH t AS (SELECT 'documents' AS source_table, CAST(doc_id AS VARCHAR) AS record
 UNION ALL SELECT 'pilot_issues', id, magazine FROM pilot_issues)
 SELECT source_table, record_key FROM t WHERE regexp_matches(t, '{_ODD}') OR nfc_normalize(t) <> t
 """
+
+P6_LINE_FREQUENCY = r"""
+WITH lines AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+n AS (SELECT doc_id, source, nullif(trim(regexp_replace(lower(line), '[^\p{L}]+', ' ', 'g')), '') AS h, length(line) AS c FROM lines),
+d AS (SELECT doc_id, source, h, CAST(sum(c) AS BIGINT) AS c FROM n GROUP BY ALL),
+f AS (SELECT source, h FROM d WHERE h IS NOT NULL GROUP BY source, h HAVING count(*) > 10),
+x AS (SELECT d.doc_id, d.source, CAST(sum(c) AS BIGINT) AS n_chars, CAST(sum(CASE WHEN f.h IS NOT NULL THEN c ELSE 0 END) AS BIGINT) AS removed_chars FROM d LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.h = f.h GROUP BY d.doc_id, d.source)
+SELECT *, CASE WHEN n_chars > 0 THEN 1 - removed_chars / n_chars ELSE 1.0 END AS kept_share, CASE WHEN n_chars > 0 THEN 1 - removed_chars / n_chars ELSE 1.0 END < 0.6 AS rejected FROM x
+"""
