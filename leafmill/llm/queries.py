@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import confusables, neardup, repetition
+from leafmill.llm import abuse, confusables, neardup, repetition
 from leafmill.llm import sql as S
 from leafmill.registry import Registry
 from leafmill.session import table
@@ -58,3 +58,25 @@ def p6_repeated_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("p6_line_frequency", S.P6_LINE_FREQUENCY)
 def p6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.line_frequency(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+# ---- problem 9 ----
+@REGISTRY.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents")).where(F.col("score") >= abuse.CASE).select("doc_id").distinct()
+
+
+@REGISTRY.add("p9_scores")
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("p9_rates")
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return abuse.rates(abuse.scores(docs), docs)
+
+
+@REGISTRY.add("p9_review_agreement")
+def p9_review_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.agreement(abuse.scores(table(spark, sf_dir, "documents")), table(spark, sf_dir, "review_labels"))
