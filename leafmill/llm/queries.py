@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import abuse, confusables, neardup, repetition
+from leafmill.llm import abuse, confusables, names, neardup, repetition
 from leafmill.llm import sql as S
 from leafmill.registry import Registry
 from leafmill.session import table
@@ -80,3 +80,19 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("p9_review_agreement")
 def p9_review_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.agreement(abuse.scores(table(spark, sf_dir, "documents")), table(spark, sf_dir, "review_labels"))
+
+
+# ---- problem 4 ----
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.fields(table(spark, sf_dir, "articles"), "articles", "article_id").unionByName(names.fields(table(spark, sf_dir, "annotations"), "annotations", "event_id"))
+
+
+@REGISTRY.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = names.links_of_records(_records(spark, sf_dir), table(spark, sf_dir, "name_authority"))
+    return links.where("not exact").select("source_table", "record_key", "field", "entity_id").distinct()
+
+
+@REGISTRY.add("p4_links")
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.links_of_records(_records(spark, sf_dir), table(spark, sf_dir, "name_authority"))
