@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import abuse, confusables, names, neardup, repetition
+from leafmill.llm import abuse, confusables, names, neardup, repetition, truncation
 from leafmill.llm import sql as S
 from leafmill.registry import Registry
 from leafmill.session import table
@@ -96,3 +96,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("p4_links")
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.links_of_records(_records(spark, sf_dir), table(spark, sf_dir, "name_authority"))
+
+
+# ---- problem 3 ----
+def _cut_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_replies(table(spark, sf_dir, "page_meta"), table(spark, sf_dir, "stage_pages"))
+
+
+@REGISTRY.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_replies(spark, sf_dir).select("issue", "stage", "page").distinct()
+
+
+@REGISTRY.add("p3_rates")
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, sf_dir, "page_meta"), _cut_replies(spark, sf_dir))
