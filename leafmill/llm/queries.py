@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import abuse, confusables, names, neardup, repetition, truncation
+from leafmill.llm import abuse, confusables, names, neardup, repetition, scans, truncation
 from leafmill.llm import sql as S
 from leafmill.registry import Registry
 from leafmill.session import table
@@ -111,3 +111,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("p3_rates")
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(table(spark, sf_dir, "page_meta"), _cut_replies(spark, sf_dir))
+
+
+# ---- problem 5 ----
+def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    null = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source_table"), F.col("doc_id").cast("string").alias("record_key"), F.col("title"), "text")
+    regions = table(spark, sf_dir, "layout_regions").where("label = 'Text'").select(F.lit("layout_regions").alias("source_table"), F.concat_ws("/", "issue", "page", "region_order").alias("record_key"), null.alias("title"), "text")
+    joins = table(spark, sf_dir, "change_log").where("joined is not null").select(F.lit("change_log").alias("source_table"), F.col("change_id").cast("string").alias("record_key"), null.alias("title"), F.col("joined").alias("text"))
+    return docs, regions, joins
+
+
+@REGISTRY.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, regions, joins = _scanned(spark, sf_dir)
+    forms = scans.forms_of(docs.select("text").unionByName(regions.select("text")))
+    heads = scans.heads_of(table(spark, sf_dir, "pilot_issues"))
+    return scans.find_defects(docs.unionByName(regions).unionByName(joins), heads, forms).distinct()
+
+
+@REGISTRY.add("p5_paragraphs")
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as continuous readable paragraphs."""
+    docs, regions, _ = _scanned(spark, sf_dir)
+    forms = scans.forms_of(docs.select("text").unionByName(regions.select("text")))
+    lines = scans.repaired_lines(docs, scans.heads_of(table(spark, sf_dir, "pilot_issues")), forms)
+    return scans.reflow(lines).select(F.col("record_key").cast("long").alias("doc_id"), "text")
