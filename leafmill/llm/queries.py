@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import abuse, confusables, names, neardup, repetition, scans, truncation
+from leafmill.llm import abuse, confusables, mixing, names, neardup, packing, repetition, scans, sizes, truncation
 from leafmill.llm import sql as S
 from leafmill.registry import Registry
 from leafmill.session import table
@@ -137,3 +137,27 @@ def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = scans.forms_of(docs.select("text").unionByName(regions.select("text")))
     lines = scans.repaired_lines(docs, scans.heads_of(table(spark, sf_dir, "pilot_issues")), forms)
     return scans.reflow(lines).select(F.col("record_key").cast("long").alias("doc_id"), "text")
+
+
+# ---- problem 7 ----
+@REGISTRY.add("p7_containers")
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(sizes.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_specs"))
+
+
+@REGISTRY.add("p7_fill")
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = table(spark, sf_dir, "pack_specs")
+    return packing.fill_rates(packing.pack(sizes.sized(table(spark, sf_dir, "documents")), specs), specs)
+
+
+# ---- problem 8 ----
+@REGISTRY.add("p8_mixture")
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(sizes.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+@REGISTRY.add("p8_shares")
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, targets = sizes.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mixture(sized, targets), sized, targets)
