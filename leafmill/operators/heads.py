@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPACE = r"[\s ]+"
-
-
-def strip(x: Column) -> Column:
-    """Without white space at both ends; SQL's trim takes spaces only."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
-
+from leafmill.functions.text import strip
 
 def lines_of(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, line_no from 1, line, n_lines. Null text has no lines, empty text one empty line."""
