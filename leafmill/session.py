@@ -54,12 +54,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_under(df: DataFrame, limit_bytes: int) -> bool:
-    """True if the optimizer can bound df's size by limit_bytes; guards every broadcast of a table."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each context."""
     sc = spark.sparkContext

@@ -70,8 +70,11 @@ def with_fallback(pages: DataFrame, raw_pages: DataFrame) -> DataFrame:
 
 def pick_file(names: Column, suffixes: list[str]) -> Column:
     """The first name with the first suffix that any name has, whatever its case; null if none has."""
-    hits = [F.get(F.filter(names, lambda n, s=s: F.lower(n).endswith(s.lower())), F.lit(0)) for s in suffixes]
-    return F.coalesce(*hits)
+
+    def first(suffix: str) -> Column:
+        return F.get(F.filter(names, lambda n: F.lower(n).endswith(suffix.lower())), F.lit(0))
+
+    return F.coalesce(*map(first, suffixes))
 
 
 class _Hocr(HTMLParser):
