@@ -67,6 +67,7 @@ ALIKE = ["ceoa", "il", "tf", "hb", "nu", "gq", "vy", "ij"]
 _TARGET = frozenset("you your yours yourself".split())
 _ALIKE = {(a, b) for group in ALIKE for a in group for b in group if a != b}
 _MASK = str.maketrans(MASKS)
+_GLYPHS = str.maketrans("eoaljfbuqy", "ccciithngv")
 
 
 def _phrases(text: str) -> list[tuple[str, ...]]:
@@ -118,9 +119,8 @@ class Lexicon:
     @staticmethod
     def _shorter(word: str) -> set[str]:
         """The word's glyph classes, whole and with one letter left out: keys that hold all neighbours."""
-        same = word.replace("rn", "m").replace("cl", "d").replace("li", "h")
-        k = "".join("c" if c in "ceoa" else "i" if c in "ilj" else "t" if c in "tf" else "h" if c in "hb" else "n" if c in "nu" else "g" if c in "gq" else "v" if c in "vy" else c for c in same)
-        return {k, *(k[:i] + k[i + 1 :] for i in range(len(k)))}
+        keys = {word.translate(_GLYPHS), word.replace("rn", "m").replace("cl", "d").replace("li", "h").translate(_GLYPHS)}
+        return keys | {k[:i] + k[i + 1 :] for k in keys for i in range(len(k))}
 
     def term(self, token: str) -> str:
         """The lexicon term a token stands for, or ''."""

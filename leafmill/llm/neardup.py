@@ -182,15 +182,18 @@ def class_pairs(df: DataFrame, key: str, text: str, sign: DataFrame, share: floa
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, least_chars: int = 300, share: float = SHARED) -> DataFrame:
-    """doc_id_a < doc_id_b of every pair of near-copies, members of one class included."""
+    """doc_id_a < doc_id_b of every pair of near-copies, members of one class included.
+
+    A doc_id that comes with several texts is paired by each of them; every pair comes once.
+    """
     sign = signed(df, key, text, least_chars)
     links = class_pairs(df, key, text, sign, share)
     member = sign.select("class_key", "doc").distinct()
     a, b = member.select(F.col("class_key").alias("class_a"), F.col("doc").alias("x")), member.select(F.col("class_key").alias("class_b"), F.col("doc").alias("y"))
     same = a.join(b, (F.col("class_a") == F.col("class_b")) & (F.col("x") < F.col("y"))).select("x", "y")
     other = a.join(links, "class_a").join(b, "class_b").select("x", "y")
-    pairs = same.unionByName(other)
-    return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    pairs = same.unionByName(other).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ _ODD = (
 P1_FOUND = f"""
 WITH t AS (SELECT 'documents' AS source_table, CAST(doc_id AS VARCHAR) AS record_key, text AS t FROM documents
 UNION ALL SELECT 'pilot_issues', id, magazine FROM pilot_issues)
-SELECT source_table, record_key FROM t WHERE regexp_matches(t, '{_ODD}') OR nfc_normalize(t) <> t
+SELECT DISTINCT source_table, record_key FROM t WHERE regexp_matches(t, '{_ODD}') OR nfc_normalize(t) <> t
 """
 
 P6_LINE_FREQUENCY = r"""
