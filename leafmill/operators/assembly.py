@@ -14,8 +14,8 @@ WORK_TYPES = ["story", "serial_part", "poem", "feature", "letters", "toc", "ad",
 
 def reading_text(regions: DataFrame) -> DataFrame:
     """issue, page, text: the regions that are reading text, in order, parted by blank lines. Copies count once."""
-    kept = regions.where("text is not null and text <> ''").where(~X.normalize_label(F.col("label")).isin(DROPPED_LABELS)).select("issue", "page", "region_order", "text").distinct()
-    parts = F.array_sort(F.collect_list(F.struct("region_order", "text")))
+    kept = regions.where("text is not null and text <> ''").where(~X.normalize_label(F.col("label")).isin(DROPPED_LABELS)).select("issue", "page", "region_order", "text")
+    parts = F.array_sort(F.collect_set(F.struct("region_order", "text")))
     return kept.groupBy("issue", "page").agg(F.array_join(F.transform(parts, lambda r: r["text"]), "\n\n").alias("text"))
 
 

@@ -27,12 +27,10 @@ def running_heads(lines: DataFrame, group: str = "issue", page: str = "page", le
     """
     w = Window.partitionBy(group, page)
     printed = lines.where(strip(F.col("line")) != "")
-    edges = printed.select(
-        group, page, head_key(F.col("line")).alias("head"),
-        F.row_number().over(w.orderBy("line_no")).alias("_top"), F.row_number().over(w.orderBy(F.desc("line_no"))).alias("_bottom"),
-    )
+    edges = printed.select(group, page, "line", F.row_number().over(w.orderBy("line_no")).alias("_top"), F.count("*").over(w).alias("_all"))
+    edges = edges.withColumn("_bottom", F.col("_all") - F.col("_top") + 1)
     times = F.when(F.col("_top") <= 2, 1).otherwise(0) + F.when(F.col("_bottom") <= 2, 1).otherwise(0)
-    counts = edges.withColumn("_times", times).where("_times > 0").groupBy(group, "head").agg(F.sum("_times").alias("n"))
+    counts = edges.withColumn("_times", times).where("_times > 0").groupBy(group, head_key(F.col("line")).alias("head")).agg(F.sum("_times").alias("n"))
     pages = lines.groupBy(group).agg(F.count_distinct(page).alias("_pages"))
     enough = F.greatest(F.lit(least), F.floor(F.col("_pages") / share))
     return counts.where(F.length("head") < longest).join(pages, group).where(F.col("n") >= enough).select(group, "head", F.col("n").cast("long").alias("n"))

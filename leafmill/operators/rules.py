@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators import heads
+from leafmill.session import cut
 
 KEYS = ["issue", "page"]
 
@@ -102,15 +103,20 @@ def paragraphs(lines: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def cleaned_pages(lines: DataFrame) -> DataFrame:
-    """issue, page, text after all rules. A page whose lines were all removed has the text ''."""
-    marked = marked_lines(lines)
+    """issue, page, text after all rules. A page whose lines were all removed has the text ''.
+
+    The lines, and the lines with their marks, are read several times further on, so both are written
+    once to the shared folder.
+    """
+    lines = cut(lines)
+    marked = cut(marked_lines(lines))
     text = paragraphs(dehyphenated(marked.where("rule is null").select(*KEYS, "line_no", "line")))
     return lines.select(*KEYS).distinct().join(text, KEYS, "left").select(*KEYS, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def change_log(lines: DataFrame) -> DataFrame:
     """issue, page, line_no, rule, before, after, removed, joined: one row per change, sparse by rule."""
-    marked = marked_lines(lines)
+    marked = cut(marked_lines(cut(lines)))
     null = F.lit(None).cast("string")
     r1 = marked.where("line <> raw").select(*KEYS, "line_no", F.lit("R1").alias("rule"), F.col("raw").alias("before"), F.col("line").alias("after"), null.alias("removed"), null.alias("joined"))
     r23 = marked.where("rule is not null").select(*KEYS, "line_no", "rule", null.alias("before"), null.alias("after"), F.col("line").alias("removed"), null.alias("joined"))

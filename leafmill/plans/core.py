@@ -25,8 +25,8 @@ page_lines AS (SELECT issue, page, n_lines, i AS line_no, parts[i] AS line FROM
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """issue, page, text: the regions of a page in reading order. A page is small, so is its group."""
-    regions = table(spark, sf_dir, "layout_regions").select("issue", "page", "region_order", "text").where("text is not null and text <> ''").distinct()
-    parts = F.array_sort(F.collect_list(F.struct("region_order", "text")))
+    regions = table(spark, sf_dir, "layout_regions").select("issue", "page", "region_order", "text").where("text is not null and text <> ''")
+    parts = F.array_sort(F.collect_set(F.struct("region_order", "text")))  # exact copies fall together in the one shuffle
     return regions.groupBy("issue", "page").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
 
 
