@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.heads import lines_of
 
 # --- fixed values: labels that are no reading text, and types of works ---
 DROPPED_LABELS = ["picture", "figure", "image", "table", "pageheader", "pagefooter", "caption", "footnote", "handwriting", "equation", "form"]
@@ -20,11 +21,12 @@ def reading_text(regions: DataFrame) -> DataFrame:
 
 
 def page_units(regions: DataFrame) -> DataFrame:
-    """issue, page, region_order, kind, unit_no, title, continues: the unit of every region with text.
+    """issue, page, region_order, kind, unit_no, title, author, continues: the unit of every region with text.
 
     Furniture are headers, footers and bare folios; ads name themselves or are capitals with a price; a
     heading opens a fragment titled by its first line, what follows on the page belongs to it, and text
-    before any heading continues an earlier page. Furniture and ads are units of one region.
+    before any heading continues an earlier page. The first by-line below a unit's first region names its
+    author. Furniture and ads are units of one region.
     """
     w = Window.partitionBy("issue", "page").orderBy("region_order", "text")
     label, text = X.normalize_label(F.col("label")), F.col("text")
@@ -41,8 +43,11 @@ def page_units(regions: DataFrame) -> DataFrame:
     per = Window.partitionBy("issue", "page", "_unit")
     rows = rows.withColumn("_first", F.min("region_order").over(per))
     title = F.when(F.col("kind") == "fragment", F.first(F.when(F.col("_heads"), F.substring(F.split(X.strip(text), "\n")[0], 1, 120)), True).over(per))
+    by_line = F.nullif(F.regexp_extract(text, r"^\s*[Bb]y\s+([A-Z][\w. ]+)", 1), F.lit(""))
+    below = F.when((F.col("kind") == "fragment") & ~F.col("_heads") & (F.col("region_order") > F.col("_first")), F.trim(by_line))
+    author = F.first(below, True).over(per.orderBy("region_order", "text").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     number = F.dense_rank().over(Window.partitionBy("issue", "page").orderBy("_first", "_unit")) - 1
-    return rows.select("issue", "page", "region_order", "kind", number.alias("unit_no"), title.alias("title"), ((F.col("kind") == "fragment") & (F.col("_fragment") == 0)).alias("continues"))
+    return rows.select("issue", "page", "region_order", "kind", number.alias("unit_no"), title.alias("title"), author.alias("author"), ((F.col("kind") == "fragment") & (F.col("_fragment") == 0)).alias("continues"))
 
 
 def stitched(units: DataFrame) -> DataFrame:
@@ -64,13 +69,14 @@ def stitched(units: DataFrame) -> DataFrame:
 
 
 def work_records(regions: DataFrame, units: DataFrame, works: DataFrame) -> DataFrame:
-    """issue, work_no, art_type, title, pages, n_regions, n_chars of every stitched work."""
+    """issue, work_no, art_type, title, author, pages, n_regions, n_chars of every stitched work; title and author are its opener's."""
     rows = units.where("kind <> 'furniture'").join(works.drop("kind"), ["issue", "page", "unit_no"])
     sizes = regions.where("text is not null").select("issue", "page", "region_order", "text").distinct().groupBy("issue", "page", "region_order").agg(F.sum(F.length("text")).alias("_chars"))
     rows = rows.join(sizes, ["issue", "page", "region_order"])
     return rows.groupBy("issue", "work_no").agg(
         F.when(F.max(F.col("kind") == "ad"), "ad").otherwise("story").alias("art_type"),
         F.min_by(F.col("title"), F.struct("page", "unit_no", "region_order")).alias("title"),
+        F.min_by(F.col("author"), F.struct("page", "unit_no", "region_order")).alias("author"),
         F.sort_array(F.collect_set("page")).alias("pages"),
         F.count("*").alias("n_regions"),
         F.sum("_chars").alias("n_chars"),
@@ -139,3 +145,33 @@ def coverage(regions: DataFrame, articles: DataFrame) -> DataFrame:
     pages = regions.select("issue", "page").distinct()
     held = claims(articles).select("issue", "page").distinct().withColumn("_held", F.lit(1))
     return pages.join(held, ["issue", "page"], "left").groupBy("issue").agg(F.count("*").alias("n_pages"), F.sum(F.coalesce("_held", F.lit(0))).alias("n_covered"))
+
+
+def contents_entries(pages: DataFrame) -> DataFrame:
+    """issue, page, line_no, title, author, start_page: the entries of contents pages.
+
+    An entry is a line of a title, leaders of three points or more, perhaps an author, and a page number.
+    """
+    rows = lines_of(pages, ["issue", "page"])
+    entry = r"^\s*(.*?\S)\s*\.{3,}\s*(.*?)\s*(\d{1,4})\s*$"
+    part = lambda k: F.regexp_extract("line", entry, k)
+    return rows.where(F.col("line").rlike(entry)).select("issue", "page", "line_no", part(1).alias("title"), F.nullif(part(2), F.lit("")).alias("author"), part(3).cast("int").alias("start_page"))
+
+
+def contents_ranges(entries: DataFrame) -> DataFrame:
+    """issue, title, start_page, end_page: the printed pages from an entry to the next; the last one is open (null)."""
+    starts = entries.select("issue", "title", "start_page").distinct()
+    pages = starts.select("issue", "start_page").distinct()
+    after = pages.select("issue", "start_page", (F.lead("start_page").over(Window.partitionBy("issue").orderBy("start_page")) - 1).alias("end_page"))
+    return starts.join(after, ["issue", "start_page"]).select("issue", "title", "start_page", "end_page")
+
+
+def folio_offsets(regions: DataFrame) -> DataFrame:
+    """issue, scan_offset, n_pages: how far the scan's page numbers run ahead of the printed ones, by most folios.
+
+    Of offsets with equally many pages the least.
+    """
+    folio = F.regexp_extract(X.strip(F.col("text")), r"(?:^|\s)[\[(-]?\s?(\d{1,4})\s?[\])-]?$", 1)
+    seen = regions.where(X.normalize_label(F.col("label")).isin("pageheader", "pagefooter") & (folio != "")).select("issue", "page", (F.col("page") - folio.cast("int")).alias("scan_offset")).distinct()
+    votes = seen.groupBy("issue", "scan_offset").agg(F.count("*").alias("n_pages"))
+    return votes.groupBy("issue").agg(F.max_by("scan_offset", F.struct("n_pages", -F.col("scan_offset"))).alias("scan_offset"), F.max("n_pages").alias("n_pages"))

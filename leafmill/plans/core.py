@@ -352,7 +352,9 @@ u3 AS (SELECT *, kind = 'fragment' AND l IN ('sectionheader', 'title') AS heads
 u4 AS (SELECT *, sum(CASE WHEN heads THEN 1 ELSE 0 END) OVER (PARTITION BY issue, page ORDER BY region_order, text) AS fragment FROM u3),
 u5 AS (SELECT *, CASE WHEN kind = 'fragment' THEN 'f' || CAST(CAST(fragment AS BIGINT) AS VARCHAR) ELSE 'r' || region_order END AS unit FROM u4),
 u6 AS (SELECT *, min(region_order) OVER (PARTITION BY issue, page, unit) AS first_at FROM u5),
-units AS (SELECT issue, page, region_order, kind, dense_rank() OVER (PARTITION BY issue, page ORDER BY first_at, unit) - 1 AS unit_no, kind = 'fragment' AND fragment = 0 AS "continues" FROM u6)
+u7 AS (SELECT *, first_value(CASE WHEN kind = 'fragment' AND NOT heads AND region_order > first_at THEN trim(nullif(regexp_extract(text, '^\s*[Bb]y\s+([A-Z][\w. ]+)', 1), '')) END IGNORE NULLS)
+    OVER (PARTITION BY issue, page, unit ORDER BY region_order, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS author FROM u6),
+units AS (SELECT issue, page, region_order, kind, author, dense_rank() OVER (PARTITION BY issue, page ORDER BY first_at, unit) - 1 AS unit_no, kind = 'fragment' AND fragment = 0 AS "continues" FROM u7)
 """
 WORKS_SQL = UNITS_SQL + r""",
 w0 AS (SELECT issue, page, unit_no, any_value(kind) AS kind, any_value("continues") AS cont FROM units WHERE kind <> 'furniture' GROUP BY issue, page, unit_no),
@@ -361,7 +363,7 @@ works AS (SELECT issue, page, unit_no, kind, CASE WHEN kind = 'fragment' THEN 'w
 """
 
 
-@REGISTRY.add("pass_a_units", f'WITH {UNITS_SQL} SELECT issue, page, region_order, kind, unit_no, "continues" FROM units')
+@REGISTRY.add("pass_a_units", f'WITH {UNITS_SQL} SELECT issue, page, region_order, kind, unit_no, author, "continues" FROM units')
 def pass_a_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.page_units(table(spark, sf_dir, "layout_regions")).drop("title")
 
@@ -381,7 +383,44 @@ WHERE u.kind <> 'furniture' GROUP BY u.issue, work_no
 def work_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "layout_regions")
     units = assembly.page_units(regions)
-    return assembly.work_records(regions, units, assembly.stitched(units)).drop("title")
+    return assembly.work_records(regions, units, assembly.stitched(units)).drop("title", "author")
+
+
+ENTRIES_SQL = r"""
+lines AS (SELECT doc_id AS issue, 0 AS page, i AS line_no, p[i] AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE doc_type = 'toc' AND text IS NOT NULL))),
+entries AS (SELECT issue, page, line_no, regexp_extract(line, '^\s*(.*?\S)\s*\.{3,}\s*(.*?)\s*(\d{1,4})\s*$', 1) AS title, nullif(regexp_extract(line, '^\s*(.*?\S)\s*\.{3,}\s*(.*?)\s*(\d{1,4})\s*$', 2), '') AS author,
+CAST(regexp_extract(line, '^\s*(.*?\S)\s*\.{3,}\s*(.*?)\s*(\d{1,4})\s*$', 3) AS INTEGER) AS start_page FROM lines WHERE regexp_matches(line, '^\s*(.*?\S)\s*\.{3,}\s*(.*?)\s*(\d{1,4})\s*$'))
+"""
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_type = 'toc'")
+    return assembly.contents_entries(docs.select(F.col("doc_id").alias("issue"), F.lit(0).alias("page"), "text"))
+
+
+@REGISTRY.add("contents_entries", f"WITH {ENTRIES_SQL} SELECT issue AS doc_id, line_no, title, author, start_page FROM entries")
+def contents_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contents(spark, sf_dir).drop("page").withColumnRenamed("issue", "doc_id")
+
+
+@REGISTRY.add("contents_ranges", f"""
+WITH {ENTRIES_SQL}, s AS (SELECT DISTINCT issue, title, start_page FROM entries), p AS (SELECT DISTINCT issue, start_page FROM s),
+e AS (SELECT issue, start_page, lead(start_page) OVER (PARTITION BY issue ORDER BY start_page) - 1 AS end_page FROM p)
+SELECT s.issue AS doc_id, title, start_page, end_page FROM s JOIN e USING (issue, start_page)
+""")
+def contents_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.contents_ranges(_contents(spark, sf_dir)).withColumnRenamed("issue", "doc_id")
+
+
+@REGISTRY.add("folio_offsets", r"""
+WITH f AS (SELECT DISTINCT issue, page, page - CAST(nullif(regexp_extract(regexp_replace(text, '^\s+|\s+$', '', 'g'), '(?:^|\s)[\[(-]?\s?(\d{1,4})\s?[\])-]?$', 1), '') AS INTEGER) AS scan_offset FROM layout_regions
+WHERE regexp_replace(lower(label), '[^a-z]', '', 'g') IN ('pageheader', 'pagefooter')),
+v AS (SELECT issue, scan_offset, count(*) AS n FROM f WHERE scan_offset IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY n DESC, scan_offset) AS k FROM v)
+SELECT issue, scan_offset, n AS n_pages FROM r WHERE k = 1
+""")
+def folio_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.folio_offsets(table(spark, sf_dir, "layout_regions"))
 
 
 CLAIMS_SQL = """
@@ -485,6 +524,15 @@ def types_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles").agg(F.count("*").alias("n_articles"), F.count_distinct("issue").alias("n_issues"), F.sort_array(F.collect_set(F.coalesce("art_type", F.lit("other")))).alias("types"))
 
 
+@REGISTRY.add("issue_documents")
+def issue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """issue, doc: an issue's articles and boxes as one JSON document, texts aside."""
+    articles = table(spark, sf_dir, "articles")
+    index = assembly.article_index(articles).groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("article_id", "art_type", "title", "author", "first_page", "last_page", "words"))).alias("articles"))
+    boxes = box_map(spark, sf_dir).groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("page", "region_order", "box", "kind", "owner"))).alias("boxes"))
+    return boxes.join(index, "issue", "left").select("issue", F.to_json(F.struct("issue", F.coalesce("articles", F.array().cast(index.schema["articles"].dataType)).alias("articles"), "boxes")).alias("doc"))
+
+
 # ---- replay ----
 @REGISTRY.add("replay_last_wins", """
 SELECT article_id, arg_max(title, event_id) FILTER (title IS NOT NULL) AS title, arg_max(author, event_id) FILTER (author IS NOT NULL) AS author, arg_max(art_type, event_id) FILTER (art_type IS NOT NULL) AS art_type
