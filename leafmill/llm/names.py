@@ -264,7 +264,9 @@ def fields(df: DataFrame, source: str, key: str) -> DataFrame:
 
 def links_of_records(records: DataFrame, authority: DataFrame) -> DataFrame:
     """source_table, record_key, field, entity_id, exact: every entry a record's field means."""
-    links = link(records.select("kind", "spelling").distinct(), authority)
+    spellings = records.select("kind", "spelling").distinct()
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = link(spellings.repartition(tasks, "kind", "spelling"), authority)  # few bytes, much work: not to be coalesced
     names = authority.select("entity_id", "name")
     named = links.join(names, "entity_id").select("kind", "spelling", "entity_id", "one_of_several", (F.col("spelling") == F.col("name")).alias("exact")).distinct()
     return records.join(named, ["kind", "spelling"]).select("source_table", "record_key", F.col("kind").alias("field"), "entity_id", "exact", "one_of_several").distinct()
