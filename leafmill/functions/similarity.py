@@ -45,6 +45,12 @@ def word_error_rate(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([None if h is None or r is None else round(edit_distance(h.split(), r.split()) / max(1, len(r.split())), 4) for h, r in zip(hyp, ref)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def character_error_rate(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    """Character edits divided by the characters of the reference, 4 places; null for null."""
+    return pd.Series([None if h is None or r is None else round(edit_distance(list(h), list(r)) / max(1, len(r)), 4) for h, r in zip(hyp, ref)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def substitution_share(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """Of all wrong characters the share that is misread, not missing or added, 3 places; null for null."""
@@ -106,29 +112,33 @@ def best_window(probe: str, hay: str, least: float, step: int = 8) -> tuple[int,
     return start + first.b, start + last.b + last.size
 
 
-def locate_span(hay: str | None, ref: str | None) -> str | None:
-    """The part of ``hay`` that carries ``ref``: three probes of 300 characters are sought, two must be found.
+def locate_span(hay: str | None, ref: str | None, probe: int = 300, places: tuple[float, ...] = (0.1, 0.5, 0.9), least: float = 0.6, least_end: float = 0.55) -> str | None:
+    """The part of ``hay`` that carries ``ref``: probes are sought, and at least two of them must be found.
 
-    Null for a reference under 900 characters or an empty text.
+    How far the found probes lie from where they would in a faithful copy tells where the span's ends are
+    to be expected; each end is then sought in a stretch about that place, wide enough for a twentieth of
+    the text to be missing or added. An end that isn't found is the expected one. Null for a reference of
+    fewer than three probes' length, or an empty text.
     """
-    if not hay or not ref or len(ref) < 900:
+    if not hay or not ref or len(ref) < 3 * probe:
         return None
-    n = len(ref)
-    hits = []
-    for share in (0.1, 0.5, 0.9):
-        p = min(int(n * share), n - 300)
-        found = best_window(ref[p : p + 300], hay, 0.6)
+    shifts = []
+    for share in places:
+        at = min(int(len(ref) * share), len(ref) - probe)
+        found = best_window(ref[at : at + probe], hay, least)
         if found:
-            hits.append((p, *found))
-    if len(hits) < 2:
+            shifts.append(found[0] - at)
+    if len(shifts) < 2:
         return None
-    start = max(0, hits[0][1] - int(hits[0][0] * 1.05) - 200)
-    end = min(len(hay), hits[-1][2] + int((n - hits[-1][0] - 300) * 1.05) + 200)
-    if end <= start:
-        return None
-    cut = hay[start:end]
-    first, last = best_window(ref[:300], cut, 0.55), best_window(ref[-300:], cut, 0.55)
-    return cut[first[0] : last[1]] if first and last and last[1] > first[0] else cut
+    slack = probe + len(ref) // 20
+
+    def end(piece: str, expected: int, side: int) -> int:
+        low = min(max(0, expected - slack - (probe if side else 0)), len(hay))
+        found = best_window(piece, hay[low : expected + slack + (0 if side else probe)], least_end)
+        return low + found[side] if found else min(max(0, expected), len(hay))
+
+    first, last = end(ref[:probe], shifts[0], 0), end(ref[-probe:], shifts[-1] + len(ref), 1)
+    return hay[first:last] if first < last else None
 
 
 @F.pandas_udf(T.StringType())

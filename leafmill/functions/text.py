@@ -13,6 +13,12 @@ SENTENCE_SIGNS = ".,;:!?'\"—–()-"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&amp;": "&"}
 
 
+# --- fixed values: patterns of markers in proofread texts, of model replies, and of ids ---
+START_MARK, END_MARK, NOTES = r"\*\*\* ?start of .*?\*\*\*", r"\*\*\* ?end of", r"(?i)\[(illustration|transcriber[^\]]*)\]"
+REASONING = r"(?s)<think>.*?</think>"
+ARTICLE_ID = r"^(.+)_[au]\d+$"
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends; SQL's trim takes spaces only."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")
@@ -61,14 +67,13 @@ def norm_scoring(text: Column) -> Column:
 
 def strip_boilerplate(text: Column) -> Column:
     """The text between a start and an end marker, if both stand; notes in brackets removed."""
-    body = F.regexp_extract(text, r"(?is)\*\*\* ?start of .*?\*\*\*(.*)\*\*\* ?end of", 1)
-    marked = text.rlike(r"(?is)\*\*\* ?start of .*?\*\*\*.*\*\*\* ?end of")
-    return F.regexp_replace(F.when(marked, body).otherwise(text), r"(?i)\[(illustration|transcriber[^\]]*)\]", " ")
+    framed = f"(?is){START_MARK}(.*){END_MARK}"
+    return F.regexp_replace(F.when(text.rlike(framed), F.regexp_extract(text, framed, 1)).otherwise(text), NOTES, " ")
 
 
 def strip_think(text: Column) -> Column:
     """A reply without the reasoning that some models write before it. Null is ''."""
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), REASONING, ""))
 
 
 def first_json(reply: Column) -> Column:
@@ -104,5 +109,5 @@ def stage_input(stage: Column) -> Column:
 
 def issue_of_article(article_id: Column) -> Column:
     """The issue in an article id such as <issue>_a012 or <issue>_u003; null where there is none."""
-    x = F.regexp_extract(article_id, r"^(.+)_[au]\d+$", 1)
+    x = F.regexp_extract(article_id, ARTICLE_ID, 1)
     return F.when(x != "", x)

@@ -175,3 +175,25 @@ def folio_offsets(regions: DataFrame) -> DataFrame:
     seen = regions.where(X.normalize_label(F.col("label")).isin("pageheader", "pagefooter") & (folio != "")).select("issue", "page", (F.col("page") - folio.cast("int")).alias("scan_offset")).distinct()
     votes = seen.groupBy("issue", "scan_offset").agg(F.count("*").alias("n_pages"))
     return votes.groupBy("issue").agg(F.max_by("scan_offset", F.struct("n_pages", -F.col("scan_offset"))).alias("scan_offset"), F.max("n_pages").alias("n_pages"))
+
+
+def claimable_span(boxes: DataFrame, issue: str, page: int, region_order: int, through: int, target: str, most_pages: int = 30) -> DataFrame:
+    """The boxes (of box_map) that a claim takes: from one in reading order to the end of page ``through``.
+
+    No further than ``most_pages`` pages on; furniture and what the target already owns are left out.
+    """
+    last = max(page, min(through, page + most_pages))
+    after = (F.col("page") > page) | ((F.col("page") == page) & (F.col("region_order") >= region_order))
+    return boxes.where((F.col("issue") == issue) & after & (F.col("page") <= last)).where((F.col("kind") != "furniture") & ~F.col("owner").eqNullSafe(F.lit(target)))
+
+
+def moved(order: list[str], frag: str, up: bool) -> list[str]:
+    """A full order of fragments after one of them was moved a place up or down; unchanged at the ends."""
+    if frag not in order:
+        return list(order)
+    at = order.index(frag)
+    to = at - 1 if up else at + 1
+    out = list(order)
+    if 0 <= to < len(out):
+        out[at], out[to] = out[to], out[at]
+    return out

@@ -198,3 +198,31 @@ def parse_page_name(name: str) -> int | None:
     """The number in a page's file name."""
     m = re.match(r"page_(\d+)", name)
     return int(m[1]) if m else None
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, bytes, modified of the files of a folder, without reading them."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def word_list(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """word: the lower-case words of the first of the files that exists, one a line; no rows without any."""
+    import os
+
+    for path in paths:
+        if os.path.exists(path):
+            return spark.read.text(path).select(F.lower(X.strip(F.col("value"))).alias("word")).where("word <> ''").distinct()
+    return spark.createDataFrame([], "word string")
+
+
+def write_version(rows: DataFrame, path: str, version: str) -> None:
+    """Rows as a version of a table: earlier versions stay as they are, and writing one again is an error."""
+    rows.write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the version whose name is last."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/version=*").withColumn("version", F.col("version").cast("string"))
+    last = rows.agg(F.max("version").alias("v")).first().v
+    return rows.where(F.col("version") == last).drop("version")
