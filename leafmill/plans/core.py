@@ -319,17 +319,17 @@ def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.add("locate_exact", """
-WITH a AS (SELECT article_id, issue, text FROM articles WHERE text IS NOT NULL AND length(text) > 0),
-p AS (SELECT issue, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM (SELECT DISTINCT issue, page, text FROM stage_pages WHERE stage = 'rules_routeA' AND text IS NOT NULL) GROUP BY issue),
-h AS (SELECT article_id, strpos(p.text, string_split(a.text, chr(10) || chr(10))[1]) AS start_at FROM a JOIN p USING (issue))
-SELECT article_id, start_at FROM h WHERE start_at > 0
+WITH a AS (SELECT article_id, issue, unnest(list_distinct(pages)) AS page, string_split(text, chr(10) || chr(10))[1] AS opening FROM articles WHERE text IS NOT NULL AND text <> ''),
+p AS (SELECT DISTINCT issue, page, text FROM stage_pages WHERE stage = 'rules_routeA' AND text IS NOT NULL)
+SELECT article_id, page, strpos(p.text, opening) AS start_at FROM a JOIN p USING (issue, page) WHERE strpos(p.text, opening) > 0
 """)
 def locate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where an article's opening paragraph stands in its issue's text, counted from 1."""
-    pages = table(spark, sf_dir, "stage_pages").where("stage = 'rules_routeA'").select("issue", "stage", "page", "text").distinct()
-    whole = pages.where("text is not null").groupBy("issue").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n").alias("whole"))
-    articles = table(spark, sf_dir, "articles").where("text is not null and length(text) > 0")
-    return articles.join(whole, "issue").select("article_id", F.expr("instr(whole, split(text, '\\n\\n')[0])").cast("long").alias("start_at")).where("start_at > 0")
+    """On which of its pages, and where, counted from 1, an article's opening paragraph stands."""
+    pages = table(spark, sf_dir, "stage_pages").where("stage = 'rules_routeA' and text is not null").select("issue", "page", F.col("text").alias("_page_text")).distinct()
+    articles = table(spark, sf_dir, "articles").where("text is not null and text <> ''")
+    openings = articles.select("article_id", "issue", F.explode(F.array_distinct("pages")).alias("page"), F.split("text", "\n\n")[0].alias("_opening"))
+    found = openings.join(pages, ["issue", "page"]).select("article_id", "page", F.expr("instr(_page_text, _opening)").cast("long").alias("start_at"))
+    return found.where("start_at > 0")
 
 
 @REGISTRY.add("locate_fuzzy")

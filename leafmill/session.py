@@ -33,10 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder is made.
+    Only where the setting is absent and everything runs in one process, as in tests, a temporary folder is
+    made; a cluster without the setting is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="leafmill-", dir=os.environ.get("TMPDIR"))
         spark.conf.set("spark.checkpoint.dir", given)
     return given
