@@ -119,8 +119,9 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     c = circulant()
     for b in batches:
         codes = [folded_words(t) for t in b["_text"]]
-        keys = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in codes]
-        yield pd.DataFrame({"doc": b["doc"], "class_key": np.array(keys, np.uint64).view(np.int64), "bands": [c.bands(shingles(x)) for x in codes]})
+        keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes() if len(x) else t.encode()) for x, t in zip(codes, b["_text"])], np.uint64)
+        runs = [shingles(x) if len(x) else keys[k : k + 1] for k, x in enumerate(codes)]  # a text without words is like its equals only
+        yield pd.DataFrame({"doc": b["doc"], "class_key": keys.view(np.int64), "bands": [c.bands(r) for r in runs]})
 
 
 def signed(df: DataFrame, key: str, text: str, least_chars: int) -> DataFrame:
@@ -215,8 +216,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def near_duplicate_groups(df: DataFrame, key: str, text: str, least_chars: int = 300, share: float = SHARED) -> DataFrame:
-    """One row per document: doc_id, group_id (least doc_id of its group), n_links (classes linked to its own), n_copies."""
+def near_duplicate_groups(df: DataFrame, key: str, text: str, least_chars: int = 1, share: float = SHARED) -> DataFrame:
+    """One row per document: doc_id, group_id (least doc_id of its group), n_links (classes linked to its own), n_copies.
+
+    A document without a text of ``least_chars`` characters is a group of its own.
+    """
     sign = signed(df, key, text, least_chars)
     links = class_pairs(df, key, text, sign, share)
     degree = links.select(F.col("class_a").alias("class_key")).union(links.select(F.col("class_b").alias("class_key"))).groupBy("class_key").agg(F.count("*").alias("n_links"))
@@ -224,4 +228,6 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, least_chars: int =
     labelled = classes.join(components(classes.select(F.col("class_key").alias("node")), links).withColumnRenamed("node", "class_key"), "class_key")
     group = labelled.groupBy("component").agg(F.min("_least").alias("group_id"))
     per_class = labelled.join(group, "component").join(degree, "class_key", "left").select("class_key", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return sign.select("doc", "class_key").distinct().join(per_class, "class_key").select(F.col("doc").alias("doc_id"), "group_id", "n_links", "n_copies")
+    placed = sign.groupBy("doc").agg(F.min("class_key").alias("class_key")).join(per_class, "class_key")
+    docs = df.select(F.col(key).cast("long").alias("doc")).distinct().join(placed, "doc", "left")
+    return docs.select(F.col("doc").alias("doc_id"), F.coalesce("group_id", "doc").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -34,7 +34,7 @@ def p1_issue_magazine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- problem 2 ----
-@REGISTRY.add("p2_found")
+@REGISTRY.add("p2_found", S.p2_found(neardup.GLYPH_CLASSES, neardup._PAIRS))
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -45,12 +45,12 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- problem 6 ----
-@REGISTRY.add("p6_found")
+@REGISTRY.add("p6_found", S.P6_FOUND)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repeated_share(table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("repeated_share") >= repetition.REPEATED).select("doc_id").distinct()
 
 
-@REGISTRY.add("p6_repeated_share")
+@REGISTRY.add("p6_repeated_share", S.P6_REPEATED_SHARE)
 def p6_repeated_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repeated_share(table(spark, sf_dir, "documents"), "doc_id", "text")
 

@@ -84,6 +84,13 @@ def test_circulant_signatures_estimate_jaccard():
     assert abs((c.signature(a) == c.signature(b)).mean() - 0.6) < 0.12
 
 
+def test_short_empty_and_wordless_texts_have_groups(spark):
+    df = spark.createDataFrame([(1, "1 2 3"), (2, "1 2 3"), (3, "4 5 6"), (4, ""), (5, None), (6, "two words"), (7, "Two words"), (8, "one")], "doc_id long, text string")
+    got = {r.doc_id: (r.group_id, r.n_copies) for r in neardup.near_duplicate_groups(df, "doc_id", "text").collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1), 6: (6, 2), 7: (6, 2), 8: (8, 1)}
+    assert neardup.near_duplicate_pairs(df, "doc_id", "text", 1).count() == 2
+
+
 def test_a_hot_class_costs_one_signature(spark):
     df = spark.createDataFrame([(k, "same words stand in this text of three hundred characters " * 6) for k in range(60)], "doc_id long, text string")
     assert neardup.candidates(neardup.signed(df, "doc_id", "text", 300)).count() == 0
@@ -127,6 +134,28 @@ def test_misreadings_but_not_slips():
         assert f.truth(fine) == ""
 
 
+def test_misreadings_of_frequent_words_are_found_again_and_slips_are_not(spark, sf):
+    import random
+
+    forms = scans.forms_of(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
+    r = random.Random(2)
+    words = sorted(w for w, n in forms.n.items() if n >= 2 * forms.least and len(w) > 4 and w.isalpha() and w.isascii())
+    hits = wrong = slips = tried = 0
+    for w in words:
+        places = [(i, a, x) for a, x in scans._READ for i in range(len(w)) if w.startswith(a, i)]
+        i, a, x = r.choice(places)
+        seen = w[:i] + x + w[i + len(a) :]
+        if seen in forms.n or seen == w:
+            continue
+        tried += 1
+        hits += forms.truth(seen) == w
+        k = r.randrange(len(w) - 1)
+        slip = w[:k] + w[k + 1] + w[k] + w[k + 2 :]
+        slips += bool(forms.truth(slip)) and slip not in forms.n
+        wrong += bool(forms.truth(w))
+    assert tried > 100 and hits / tried > 0.95 and slips / tried < 0.03 and wrong / len(words) < 0.01
+
+
 def test_defects_of_a_page():
     f = scans.Forms(FORMS, 5)
     heads = scans.Heads(["Velvet Comet Stories"])
