@@ -4,8 +4,9 @@ A lexicon of terms is a trie; a Levenshtein automaton for each word of a text is
 so misspelled, masked and misread terms are met as well as exact ones. Edits the automaton allows for
 free or for one step are those of masks (digits and signs for letters, stars), of scans (look-alike
 letters) and of typing (one letter left out, doubled or swapped). Matched terms are then judged in
-their context window, the sentence: a slur counts where it is turned on somebody, not where it is
-reported, said of oneself or meant literally; phrases count where their terms follow one another.
+their context window, the sentence: a slur counts where it is turned on somebody, not where a word
+beside it reports it, says it of oneself or means it literally; phrases count where their terms follow
+one another. Heads between the lines of a sentence are read over.
 
 The score of a document is the highest score of its sentences; from 1.0 it is a case. Null and empty
 texts score 0.
@@ -29,9 +30,16 @@ CASE = 1.0
 # --- fixed values: terms of the lexicon ---
 SLURS = "pig pigs swine worm worms vermin scum filth trash whore whores bitch bitches bastard bastards slut sluts moron morons idiot idiots imbecile imbeciles cretin cretins halfwit halfwits dirtbag dirtbags parasite parasites shithead shitheads asshole assholes fucker fuckers cunt cunts retard retards prick pricks wretch wretches faggot faggots"
 SCORN = "filthy stupid pathetic rotten disgusting brainless lousy worthless stinking dirty miserable ugly vile repulsive damn damned bloody goddamn fucking"
-#: Words that turn a term on somebody, and words that report it, take it on oneself or mean it literally.
-REPORT = "called call calling word words apology owes printer blotted quoted quote spelled dictionary"
-LITERAL = "whelped pups barn brayed grain butcher mutton nurse surgeon specimen botanist orchid comet bandit sunset"
+#: Words that report a slur beside them: verbs of naming, and words about words.
+NAMING = "called call calling calls"
+REPORT = "word words quoted quote spelled dictionary blotted"
+#: Words that mean a slur literally where they stand beside it, each for its own slurs only.
+LITERAL = {
+    "bitch bitches": "whelped whelp pups puppies litter kennel hounds barn",
+    "pig pigs swine": "butcher mutton pork bacon lard sty barn farmer herd trough",
+    "vermin parasite parasites worm worms": "grain barn larder granary crops soil bait specimen botanist surgeon",
+    "filth trash scum": "swept bin heap pond gutter",
+}
 
 # --- fixed values: phrases; their words follow one another with at most four others between ---
 THREATS = """
@@ -99,7 +107,8 @@ class Lexicon:
 
     def __init__(self) -> None:
         self.kind: dict[str, str] = {}
-        for kind, words in (("scorn", SCORN), ("report", REPORT), ("literal", LITERAL), ("slur", SLURS)):
+        self.literal = {slur: frozenset(beside.split()) for slurs, beside in LITERAL.items() for slur in slurs.split()}
+        for kind, words in (("scorn", SCORN), ("naming", NAMING), ("report", REPORT), ("literal", " ".join(LITERAL.values())), ("slur", SLURS)):
             self.kind |= dict.fromkeys(words.split(), kind)
         self.plain = {w for group in PHRASES.values() for p in group for w in p}
         self.trie: dict = {}
@@ -191,6 +200,8 @@ _SPACED = re.compile(r"(?<!\S)(?:[\w*] ){2,}[\w*](?![\w*])")
 _DASHED = re.compile(r"(?<![\w*])(?:[\w*][-._]){2,}[\w*](?![\w*])")
 _BREAKS = [f"{a}{sign}{b}" for sign in "-¬=" for a in (" ", "") for b in (" \n", "\n", " ")]
 _TOKEN = re.compile(r"[\w|*@$€]+(?:![\w*]+)*|[.!?;:]")
+#: Lines of capitals, names with a page number and bare numbers.
+_HEADS = re.compile(r"^(?:(?=[^a-z\n]*$)[^A-Z\n]*[A-Z][^A-Z\n]*[A-Z].*|[^\w\n]*\d{1,4}[^\w\n]*|\d{1,4}(?: +(?:[A-Z][\w'-]*|of|the|and))+|(?:(?:[A-Z][\w'-]*|of|the|and) +)+\d{1,4})$\n*", re.M)
 _lexicon: Lexicon | None = None
 
 
@@ -215,6 +226,27 @@ def _follows(terms: list[str], phrase: tuple[str, ...], gap: int = 4) -> bool:
     return False
 
 
+def _reported(tokens: list[str], kinds: list[str], k: int) -> bool:
+    """Whether a word beside the slur at k reports it: 'called Smith a moron', 'the word bastard', 'bastard is a word'."""
+    for j in range(max(0, k - 5), k):
+        between = tokens[j + 1 : k]
+        if kinds[j] == "naming":
+            turned = _TARGET & set(between)
+            if not turned or {"a", "an"} & set(between) and "i" not in tokens[max(0, j - 3) : j]:
+                return True
+        elif kinds[j] == "report" and k - j <= 3 and not _TARGET & set(between):
+            return True
+    return not _TARGET & set(tokens[max(0, k - 3) : k]) and "report" in kinds[k + 1 : k + 4]
+
+
+def _literal(tokens: list[str], terms: list[str], k: int, lex: Lexicon) -> bool:
+    """Whether a word beside the slur at k means it literally; not where it is said of somebody."""
+    said_of = tokens[max(0, k - 3) : k]
+    if _TARGET & set(said_of) or {"is", "are"} & set(said_of) and "there" not in tokens[max(0, k - 5) : k]:
+        return False
+    return bool(lex.literal.get(terms[k], frozenset()) & set(terms[max(0, k - 5) : k + 6]))
+
+
 def judge(tokens: list[str], lex: Lexicon) -> tuple[float, str]:
     """Score and kind of one sentence."""
     terms = [lex.term(t) for t in tokens]
@@ -226,7 +258,6 @@ def judge(tokens: list[str], lex: Lexicon) -> tuple[float, str]:
         score = sum(0.5 if p in _WEAK else 1.0 for p in hits)
         if score > best:
             best, kind = score, name
-    report, literal = "report" in kinds, "literal" in kinds
     for k, t in enumerate(kinds):
         if t != "slur":
             continue
@@ -239,19 +270,26 @@ def judge(tokens: list[str], lex: Lexicon) -> tuple[float, str]:
             score += 0.4 + 0.3 * scorn
         if set(before[-3:]) & {"i", "me", "my", "myself"}:
             score -= 0.8
-        if report or literal:
+        if _reported(tokens, kinds, k) or _literal(tokens, terms, k, lex):
             score -= 0.8
         if score > best:
             best, kind = score, "insult"
-    if report or literal:
-        best -= 0.5
     return max(0.0, best), kind
 
 
 def score_text(text: str | None, lex: Lexicon) -> tuple[float, str]:
-    """Score and kind of a text: those of its worst sentence."""
+    """Score and kind of a text: those of its worst sentence, read with its heads and without."""
     if not text:
         return 0.0, ""
+    found = _score(text, lex)
+    if found[0] < CASE and "\n" in text:
+        bare = _HEADS.sub("", text)
+        if bare != text:
+            found = max(found, _score(re.sub(r"\n{2,}", "\n", bare), lex))
+    return found
+
+
+def _score(text: str, lex: Lexicon) -> tuple[float, str]:
     text = text.lower()
     for sign in _BREAKS:
         text = text.replace(sign, "")

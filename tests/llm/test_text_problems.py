@@ -216,6 +216,24 @@ def test_abuse_and_its_context(text, case):
     assert (abuse.score_text(text, abuse.lexicon())[0] >= abuse.CASE) == case
 
 
+@pytest.mark.parametrize(
+    ("text", "case"),
+    [
+        ("Take your surgeon and shove it, you stinking sluts.", True),
+        ("Mark my word, you stinking sluts.", True),
+        ("VELVET COMET STORIES\nThe editor is a worm, a brainless dirtbag, and ought to be horsewhipped.", True),
+        ("The surgeon of the comet ought to hang every last one of the Hill People.", True),
+        ("I call you a filthy pig.", True),
+        ("You are a filthy\n\nVELVET WORD STORIES   12\n\npig and everyone knows it.", True),
+        ("Whoever called you a filthy pig owes an apology.", False),
+        ("Vermin had got into the grain behind the surgeon.", False),
+        ("The butcher of Rasdlegate sold breast of mutton and pig's feet.", False),
+    ],
+)
+def test_report_and_literal_words_lower_only_the_slur_beside_them(text, case):
+    assert (abuse.score_text(text, abuse.lexicon())[0] >= abuse.CASE) == case
+
+
 def test_automaton_and_trie():
     lex = abuse.lexicon()
     for seen, term in {"idoit": "idiot", "id1ot": "idiot", "moronn": "moron", "imbecle": "imbecile", "vermm": "", "storm": "", "mouth": "mouth", "f***h": "filth"}.items():
