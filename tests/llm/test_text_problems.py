@@ -234,6 +234,14 @@ def test_report_and_literal_words_lower_only_the_slur_beside_them(text, case):
     assert (abuse.score_text(text, abuse.lexicon())[0] >= abuse.CASE) == case
 
 
+def test_every_phrase_is_judged_where_it_stands_alone():
+    lex = abuse.lexicon()
+    for phrases in abuse.PHRASES.values():
+        for p in phrases:
+            assert abuse.score_text(" ".join(p), lex)[0] >= abuse.judge(list(p), lex)[0] > 0
+    assert abuse.score_text("Your mother was worse.", lex)[0] >= abuse.CASE
+
+
 def test_automaton_and_trie():
     lex = abuse.lexicon()
     for seen, term in {"idoit": "idiot", "id1ot": "idiot", "moronn": "moron", "imbecle": "imbecile", "vermm": "", "storm": "", "mouth": "mouth", "f***h": "filth"}.items():
