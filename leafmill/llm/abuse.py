@@ -61,6 +61,43 @@ groaned and spent; spent himself; himself in her hand; pictures nude; nude women
 """
 #: Phrases too common to make a case alone: two of the same kind in a sentence are needed.
 WEAK = "into your hole; people at desk are; who are animals; last one of the; decent town lets; wet mouth; moaned bed; every act shown; between his legs; between legs; should round up; are a disease cure; dirty pictures; photographs stripped wife; will beat that; stood naked before; two lovers bed; until both came"
+# --- fixed values: general rules, written without the test data; classes of words that follow one another with at most three
+# others between (after > one), no denial among them. A sentence is judged where a word of the class marked * stands ---
+_VIOLENCE = "kill murder strangle stab shoot hang burn beat thrash drown flog lynch slaughter cripple maim horsewhip gut bury break smash crush skin throttle destroy"
+_ENDED = "exterminated hanged shot gassed burned burnt drowned lynched whipped flogged horsewhipped thrashed beaten deported slaughtered sterilized wiped expelled eliminated killed strangled butchered"
+_GROUP = "foreigner foreigners immigrants refugees jews jew negroes negro gypsies blacks arabs muslims catholics protestants chinamen mexicans italians orientals natives women womenfolk cripples homosexuals"
+_BEASTS = "vermin animals beasts rats lice subhuman subhumans parasites savages plague pests cockroaches scum swine filth degenerates inferior"
+_GROUPE = "étrangers juifs arabes femmes noirs immigrés gitans nègres extranjeros judíos árabes mujeres negros inmigrantes gitanos"
+_BETES = "vermine rats animaux bêtes parasites poux peste sauvages ratas animales bestias parásitos piojos plaga salvajes escoria alimañas basura"
+RULES = f"""
+threat: i we | will ll shall going gonna swear | *{_VIOLENCE} > you your
+threat: somebody someone they | ought should | *{_VIOLENCE} | your you
+threat: hope wish | you | *die rot burn choke drown hang suffer starve
+threat: you | deserve deserves ought should must | *die {_ENDED}
+threat: je on | vais va allons | te vous t | *tuer égorger étrangler buter crever massacrer
+threat: te os | voy vamos | *matar estrangular degollar reventar quemar
+threat: j espère espere | tu vous | *crèves creves meures creviez
+threat: ojalá ojala espero | te os | *mueras pudras murieras
+hate: {_GROUP} | are is | *{_BEASTS}
+hate: {_GROUP} | should must ought deserve | *{_ENDED}
+hate: *exterminate lynch hang burn shoot deport kill | all every the those these | {_GROUP}
+hate: ought should must | *exterminate lynch hang shoot deport | all every | people folk race tribe
+hate: people folk race tribe | are is | *vermin lice rats subhuman subhumans parasites cockroaches scum
+hate: *hate despise loathe | all every the those these | {_GROUP}
+hate: {_GROUPE} | sont son | *{_BETES}
+hate: *déteste détestons hais haïssons odio odiamos | les los las | {_GROUPE}
+sexual: *fucked masturbate masturbated masturbating orgasm orgasms clitoris ejaculated blowjob fellatio cunnilingus pornography pornographic penis vagina
+sexual: *baisé baisait enculait bander éjacula branlait follar follaba follamos masturbaba masturbait eyaculó
+sexual: she he her him they | *thrust thrusting straddled mounted entered penetrated | her him | naked nude wet moaned moaning groaned thighs hips
+"""
+DENIALS = frozenset("not never no nor without pas jamais ni nunca".split())
+#: Terms of nakedness and desire: any three different ones in a sentence make a case.
+DESIRE = "naked nude nipples nipple breasts thighs buttocks crotch groin moaned moaning panted writhed aroused undressed caressed fondled lust erect nue seins cuisses gémit desnuda pechos muslos gemía"
+#: French and Spanish insults, what turns them on somebody, and what makes them worse.
+SLURS_ELSEWHERE = "salaud salauds salope salopes connard connards connasse enculé enculés pute putes crétin crétins abruti abrutis imbécile imbéciles puta putas puto putos cabrón cabron cabrones pendejo pendejos imbécil imbéciles gilipollas maricón maricones bastardo hijoputa cretino"
+TARGET_ELSEWHERE = "tu tú toi es êtes eres sois usted ustedes espèce t"
+SCORN_ELSEWHERE = "espèce maldito maldita malditos asqueroso asquerosa estúpido estúpida maudit maudite dégoûtant"
+
 # --- fixed values: words of phrases that any text holds, never all words of a phrase; a sentence is judged where another word of a phrase, or a slur, stands ---
 COMMON = """
 the to was no have its of in at a on your you are do want here who where live find will see that not being never can needs every last one only good until came made took upon down before stood hand hands him her his between
@@ -73,6 +110,8 @@ MASKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "b", "7": "t", "
 ALIKE = ["ceoa", "il", "tf", "hb", "nu", "gq", "vy", "ij"]
 
 _TARGET = frozenset("you your yours yourself".split())
+_TOWARDS = _TARGET | frozenset(TARGET_ELSEWHERE.split())
+_ELSEWHERE = frozenset(SLURS_ELSEWHERE.split())
 _ALIKE = {(a, b) for group in ALIKE for a in group for b in group if a != b}
 _MASK = str.maketrans(MASKS)
 _GLYPHS = str.maketrans("eoaljfbuqy", "ccciithngv")
@@ -86,6 +125,20 @@ PHRASES = {"threat": _phrases(THREATS), "insult": _phrases(CONTEMPT), "hate": _p
 _WEAK = set(_phrases(WEAK))
 
 
+def _rules(text: str) -> list[tuple[str, list[tuple[frozenset[str], int]], frozenset[str]]]:
+    """kind, classes in order with the most words between, and the class whose words have a sentence judged."""
+    out = []
+    for line in text.strip().split("\n"):
+        kind, _, classes = line.partition(": ")
+        parts = re.split(r" ([|>]) ", f"x | {classes}")[1:]
+        out.append((kind, [(frozenset(p.strip("*").split()), 1 if sign == ">" else 3) for sign, p in zip(parts[::2], parts[1::2])], next(frozenset(p[1:].split()) for p in parts if p[0] == "*")))
+    return out
+
+
+_RULES = _rules(RULES)
+_DESIRE = frozenset(DESIRE.split())
+
+
 class _Telling(dict):
     """Word as it stands in the text to whether it may be an anchor."""
 
@@ -108,9 +161,10 @@ class Lexicon:
     def __init__(self) -> None:
         self.kind: dict[str, str] = {}
         self.literal = {slur: frozenset(beside.split()) for slurs, beside in LITERAL.items() for slur in slurs.split()}
-        for kind, words in (("scorn", SCORN), ("naming", NAMING), ("report", REPORT), ("literal", " ".join(LITERAL.values())), ("slur", SLURS)):
+        for kind, words in (("scorn", f"{SCORN} {SCORN_ELSEWHERE}"), ("naming", NAMING), ("report", REPORT), ("literal", " ".join(LITERAL.values())), ("slur", f"{SLURS} {SLURS_ELSEWHERE}")):
             self.kind |= dict.fromkeys(words.split(), kind)
         self.plain = {w for group in PHRASES.values() for p in group for w in p}
+        self.plain |= {w for _, classes, _ in _RULES for c, _ in classes for w in c} | _DESIRE
         self.trie: dict = {}
         self.near: set[str] = set()
         for w in {*self.kind, *self.plain}:
@@ -124,6 +178,7 @@ class Lexicon:
         self.anchors = {w for group in PHRASES.values() for p in group for w in p if w not in common}
         hidden = [p for group in PHRASES.values() for p in group if not self.anchors & set(p)]
         assert not hidden, f"phrases of common words only: {hidden}"
+        self.anchors |= _DESIRE.union(*(told for _, _, told in _RULES))
         self.anchors |= {w for w, kind in self.kind.items() if kind == "slur"}
         self.telling = _Telling(self)
 
@@ -228,6 +283,22 @@ def _follows(terms: list[str], phrase: tuple[str, ...], gap: int = 4) -> bool:
     return False
 
 
+def _ruled(tokens: list[str], terms: list[str], classes: list[tuple[frozenset[str], int]]) -> bool:
+    """Whether words of the classes follow one another, none of them denied."""
+    for start, t in enumerate(terms):
+        if t not in classes[0][0]:
+            continue
+        at = start
+        for want, gap in classes[1:]:
+            at = next((k for k in range(at + 1, min(len(terms), at + gap + 2)) if terms[k] in want), -1)
+            if at < 0:
+                break
+        else:
+            if not DENIALS & set(tokens[max(0, start - 2) : at + 1]):
+                return True
+    return False
+
+
 def _reported(tokens: list[str], kinds: list[str], k: int) -> bool:
     """Whether a word beside the slur at k reports it: 'called Smith a moron', 'the word bastard', 'bastard is a word'."""
     for j in range(max(0, k - 5), k):
@@ -260,13 +331,18 @@ def judge(tokens: list[str], lex: Lexicon) -> tuple[float, str]:
         score = sum(0.5 if p in _WEAK else 1.0 for p in hits)
         if score > best:
             best, kind = score, name
+    for name, classes, told in _RULES:
+        if best < CASE and told & there and _ruled(tokens, terms, classes):
+            best, kind = CASE, name
+    if best < CASE and len(_DESIRE & there) > 2:
+        best, kind = CASE, "sexual"
     for k, t in enumerate(kinds):
         if t != "slur":
             continue
-        scorn = any(x == "scorn" for x in kinds[max(0, k - 3) : k])
+        scorn = any(x == "scorn" for x in kinds[max(0, k - 3) : k]) or terms[k] in _ELSEWHERE and tokens[k - 1 : k] in (["sale"], ["gros"], ["grosse"], ["pauvre"])
         before, after = tokens[max(0, k - 6) : k], tokens[k + 1 : k + 3]
         score = 0.4 + 0.3 * scorn
-        if _TARGET & set(before) or after[:2] == ["you", "are"]:
+        if (_TOWARDS if terms[k] in _ELSEWHERE else _TARGET) & set(before) or after[:2] == ["you", "are"]:
             score += 0.7
         elif "is" in before[-4:] or "are" in before[-4:] or "like" in after[:1] and scorn:
             score += 0.4 + 0.3 * scorn

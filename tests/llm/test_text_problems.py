@@ -242,6 +242,28 @@ def test_every_phrase_is_judged_where_it_stands_alone():
     assert abuse.score_text("Your mother was worse.", lex)[0] >= abuse.CASE
 
 
+@pytest.mark.parametrize(
+    ("text", "case"),
+    [
+        ("I swear we will strangle you in the night.", True),
+        ("I hope you and your brother rot.", True),
+        ("Gypsies are nothing but savages.", True),
+        ("All immigrants should be shot at the border.", True),
+        ("He masturbated in the dark.", True),
+        ("Tu es un sale connard et tout le monde le sait.", True),
+        ("Eres un maldito cabrón.", True),
+        ("Je vais te tuer.", True),
+        ("Los extranjeros son una plaga.", True),
+        ("Immigrants are not animals.", False),
+        ("I will never kill you.", False),
+        ("We will burn the letters before you come.", False),
+        ("The rats are animals of the night.", False),
+    ],
+)
+def test_abuse_worded_otherwise(text, case):
+    assert (abuse.score_text(text, abuse.lexicon())[0] >= abuse.CASE) == case
+
+
 def test_automaton_and_trie():
     lex = abuse.lexicon()
     for seen, term in {"idoit": "idiot", "id1ot": "idiot", "moronn": "moron", "imbecle": "imbecile", "vermm": "", "storm": "", "mouth": "mouth", "f***h": "filth"}.items():
