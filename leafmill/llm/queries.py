@@ -132,11 +132,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("p5_paragraphs")
 def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as continuous readable paragraphs."""
-    docs, regions, _ = _scanned(spark, sf_dir)
+    """source_table, record_key, text: documents and Text regions as continuous readable paragraphs, joined words put right."""
+    docs, regions, joins = _scanned(spark, sf_dir)
     forms = scans.forms_of(docs.select("text").unionByName(regions.select("text")))
-    lines = scans.repaired_lines(docs, scans.heads_of(table(spark, sf_dir, "pilot_issues")), forms)
-    return scans.reflow(lines).select(F.col("record_key").cast("long").alias("doc_id"), "text")
+    records = docs.unionByName(regions).distinct().withColumn("record_key", F.concat_ws("/", "source_table", "record_key"))  # one key over both tables
+    text = scans.reflow(scans.repaired_lines(records, scans.heads_of(table(spark, sf_dir, "pilot_issues")), forms))
+    source = F.substring_index("record_key", "/", 1)
+    paragraphs = text.select(source.alias("source_table"), F.expr("substr(record_key, instr(record_key, '/') + 1)").alias("record_key"), "text")
+    return paragraphs.unionByName(scans.right_joins(joins.distinct(), forms))
 
 
 # ---- problem 7 ----

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leafmill.llm import abuse, confusables, neardup, repetition, scans, truncation
+from leafmill.llm.queries import REGISTRY
 
 
 # ---- problem 1 ----
@@ -175,6 +176,23 @@ def test_reflow(spark):
     assert got == {"k": "The morning fell on the deck.\n\nA new paragraph."}
 
 
+def test_joined_words_put_right():
+    f = scans.Forms(FORMS, 5)
+    for joined, want in {
+        "sun- + bleached -> sunbleached,": "sun-bleached", "Sun- + bleached -> Sunbleached": "Sun-bleached", "retu- + med -> retumed.": "returned", "mor- + ning -> morning": "morning",
+        "SI|- + VER -> SI|VER": "SILVER", "sun- + blcached -> sunblcached": "sun-bleached", "zim- + ber -> zimber;": "zimber", "odd": "odd",
+    }.items():
+        assert scans.joined_right(joined, f) == want
+
+
+def test_paragraphs_hold_regions_and_joined_words(spark, sf):
+    got = REGISTRY.queries["p5_paragraphs"](spark, sf).toPandas()
+    regions = spark.read.parquet(f"{sf}/layout_regions.parquet").where("label = 'Text' and text is not null").select("issue", "page", "region_order").distinct().count()
+    joins = spark.read.parquet(f"{sf}/change_log.parquet").where("joined is not null").count()
+    n = got.groupby("source_table").size()
+    assert n["change_log"] == joins and 0.95 * regions < n["layout_regions"] <= regions and not got.duplicated(["source_table", "record_key"]).any()
+
+
 # ---- problem 6 ----
 @given(st.lists(st.lists(st.sampled_from(["one", "two", "three", "Four,", "5", "six-\n", "\n"]), max_size=40), max_size=5))
 def test_repeated_share_like_brute_force(texts):
