@@ -176,6 +176,14 @@ def test_reflow(spark):
     assert got == {"k": "The morning fell on the deck.\n\nA new paragraph."}
 
 
+def test_reflow_keeps_hyphens_and_mends_broken_words(spark):
+    f = scans.Forms(FORMS, 5)
+    texts = {"a": "The sun-\nbleached deck retu-\nmed.", "b": "Sun-\n\n14\n\nblcached. The\nclock", "c": "the mor\u00ac\nning, the re-\nturn-\ned clock", "d": "from 1914-\n18 on"}
+    df = spark.createDataFrame([(k, None, t) for k, t in texts.items()], "record_key string, title string, text string")
+    got = {r.record_key: r.text for r in scans.reflow(scans.repaired_lines(df, scans.Heads([]), f)).collect()}
+    assert got == {"a": "The sun-bleached deck returned.", "b": "Sun-bleached. The clock", "c": "the morning, the returned clock", "d": "from 1914-18 on"}
+
+
 def test_joined_words_put_right():
     f = scans.Forms(FORMS, 5)
     for joined, want in {
