@@ -123,6 +123,19 @@ def test_cut_replies(spark):
     assert got == {(1, "alignment"), (2, "alignment"), (3, "limit"), (4, "limit"), (5, "limit")}
 
 
+def test_replies_cut_early_after_a_sentence(spark):
+    pages, meta = [], []
+    for k in range(12):
+        words = _text(80 + k, 120).split()
+        text = " ".join(words) + "."
+        pages.append(("i", "rules_routeA", k, text))
+        pages.append(("i", "routeB", k, " ".join(words[: 8 + k]) + "." if k < 6 else text))
+        meta.append(("i", "routeB", k, "m", None, 20 + k if k < 6 else 200 + k, None, None, None))
+    m = spark.createDataFrame(meta, "issue string, stage string, page int, model string, out_tokens long, completion_tokens long, similarity double, accepted boolean, error string")
+    p = spark.createDataFrame(pages, "issue string, stage string, page int, text string")
+    assert {(r.page, r.reason) for r in truncation.cut_replies(m, p).collect()} == {(k, "alignment") for k in range(6)}
+
+
 # ---- problem 5 ----
 FORMS = [(w, n, 0.7) for w, n in {"returned": 900, "the": 9000, "silver": 300, "morning": 400, "clock": 200, "deck": 200, "sun-bleached": 300, "furious": 250, "eclipse": 200, "carpet": 300, "fell": 40, "tell": 1000}.items()]
 
