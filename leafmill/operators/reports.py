@@ -71,6 +71,11 @@ def next_in_ring(articles: DataFrame, open_only: DataFrame) -> DataFrame:
     return marked.select("issue", "article_id", F.coalesce(ahead, first).alias("next_id"))
 
 
+def status_counts(done: DataFrame) -> DataFrame:
+    """issue, n_articles, n_verified, n_modified of replayed articles (issue, status)."""
+    return done.groupBy("issue").agg(F.count("*").alias("n_articles"), F.count_if(F.col("status") == "verified").alias("n_verified"), F.count_if(F.col("status") == "modified").alias("n_modified"))
+
+
 def page_export(pages: DataFrame) -> DataFrame:
     """issue, stage, text, n_pages: all pages of a stage in order, parted by blank lines."""
     parts = F.array_sort(F.collect_list(F.struct("page", "text")))

@@ -7,6 +7,11 @@ tenth of all pages is no bottleneck.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +39,12 @@ def marked_lines(lines: DataFrame, running: DataFrame | None = None) -> DataFram
     return rows.select(*KEYS, "line_no", "n_lines", "raw", "line", rule.alias("rule"))
 
 
+#: A broken word's two halves; the second takes the signs behind it along.
+BROKEN, REST = r"([A-Za-z]{2,})-$", r"([A-Za-z]+)[^\sA-Za-z]*"
+_LEFT, _RIGHT, _BLANKS, _WORDLIKE = re.compile(BROKEN), re.compile(REST), re.compile(r"(?<=\S)[ \t]+"), re.compile(r"(?=[a-z]*[aeiouy])[a-z]{2,20}")
+_SIGNS = str.maketrans(X.LIGATURES)
+
+
 def _word_at_end(x: Column) -> Column:
     return F.regexp_extract(x, "([A-Za-z]{2,})-$", 1)
 
@@ -42,9 +53,18 @@ def _word_at_start(x: Column) -> Column:
     return F.regexp_extract(X.strip(x), "^([A-Za-z]+)", 1)
 
 
-def dehyphenated(kept: DataFrame) -> DataFrame:
+def listed(joined: str, words: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """rows with ``name``: whether the word in column ``joined`` is in the list (column word); '' is in none."""
+    known = words.select(F.lower("word").alias("_word")).where("_word <> ''").distinct().withColumn(name, F.lit(True))
+    return rows.join(known, F.lower(joined) == F.col("_word"), "left").drop("_word").na.fill({name: False})
+
+
+def dehyphenated(kept: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """issue, page, line_no, line (rule R4), joined (the log's text, null where nothing was joined).
 
+    Two halves make a word where the list (``words``, column word) holds it, or without a list, or with
+    an empty one, where it has the shape of one.
+
     A line that ends in a broken word takes the first word of the next line that isn't blank, with the
     signs behind it, if the two make a word; the next page's first line counts as next. A line of one
     word that the line before has taken has nothing left to join; such chains are followed in a page.
@@ -56,11 +76,15 @@ def dehyphenated(kept: DataFrame) -> DataFrame:
     edges = edges.select(*KEYS, F.lead("_first").over(pages).alias("_page_after"), F.lag("_last").over(pages).alias("_page_before"))
     rows = printed.join(edges, KEYS).withColumn("_after", F.coalesce(F.lead("line").over(w), "_page_after")).withColumn("_before", F.coalesce(F.lag("line").over(w), "_page_before"))
 
-    def fits(a: Column, b: Column) -> Column:
+    def whole(a: Column, b: Column) -> Column:
         left, right = _word_at_end(a), _word_at_start(b)
-        return F.coalesce((left != "") & (right != "") & X.looks_like_word(F.concat(left, right)), F.lit(False))
+        return F.coalesce(F.when((left != "") & (right != ""), F.concat(left, right)), F.lit(""))
 
-    rows = rows.withColumn("_can", fits(F.col("line"), F.col("_after"))).withColumn("_prev_can", fits(F.col("_before"), F.col("line")))
+    rows = rows.withColumn("_w", whole(F.col("line"), F.col("_after"))).withColumn("_prev_w", whole(F.col("_before"), F.col("line")))
+    if words is None or words.where("word <> ''").isEmpty():
+        rows = rows.withColumn("_can", X.looks_like_word(F.col("_w"))).withColumn("_prev_can", X.looks_like_word(F.col("_prev_w")))
+    else:
+        rows = listed("_prev_w", words, listed("_w", words, rows, "_can"), "_prev_can")
     rows = rows.withColumn("_single", X.strip(F.col("line")).rlike(r"^[A-Za-z]+[^\sA-Za-z]*$"))
     chain = F.col("_single") & F.col("_can")
     rows = rows.withColumn("_chain", chain).withColumn("_run", F.sum(F.when(F.col("_chain"), 0).otherwise(1)).over(w))
@@ -102,7 +126,66 @@ def paragraphs(lines: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return rows.groupBy(*keys).agg(pieces.alias("_pieces")).select(*keys, F.regexp_replace(text, r"^\s+", "").alias("text"))
 
 
-def cleaned_pages(lines: DataFrame) -> DataFrame:
+def joined_lines(lines: list[str], fits: Callable[[str], bool]) -> list[str]:
+    """Lines with a word broken at a line's end made whole by the very next line, which loses it."""
+    out: list[str] = []
+    now: str | None = None
+    for line in lines:
+        left, right = _LEFT.search(now or ""), _RIGHT.match(line.lstrip())
+        if left and right and fits(left[1] + right[1]):
+            out.append(now[:-1] + right[0])
+            now = line.lstrip()[right.end() :].lstrip()
+        else:
+            out += [] if now is None else [now]
+            now = line
+    return out if now is None else [*out, now]
+
+
+def flowing_text(text: str | None, fits: Callable[[str], bool]) -> str:
+    """A text in paragraphs: characters normalised, broken words joined, lines joined up to a blank one."""
+    lines = [_BLANKS.sub(" ", x.translate(_SIGNS).rstrip()) for x in (text or "").split("\n")]
+    runs = groupby((x.strip() for x in joined_lines(lines, fits)), bool)
+    return "\n\n".join(" ".join(run) for printed, run in runs if printed)
+
+
+def looks_whole(word: str) -> bool:
+    return _WORDLIKE.fullmatch(word.lower()) is not None
+
+
+def article_texts(df: DataFrame, keys: list[str], text: str, words: DataFrame | None = None) -> DataFrame:
+    """keys, text: each row's text cleaned as an article. Null is ''.
+
+    Only the very next line can end a broken word, and only a blank line ends a paragraph. With a word
+    list (column word) the row's few candidates are looked up by a join and travel with the row; an
+    empty list counts as none.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.select(*keys, F.col(text).alias("_raw"))
+    if words is not None and not words.where("word <> ''").isEmpty():
+        number = F.monotonically_increasing_id()
+        rows = cut(rows.withColumn("_row", number))
+        halves = rows.select("_row", F.explode(F.regexp_extract_all("_raw", F.lit(r"[A-Za-z]{2,}-[ \t]*\n\s*[A-Za-z]+"), F.lit(0))).alias("_pair"))
+        found = listed("_w", words, halves.select("_row", F.regexp_replace("_pair", r"-\s+", "").alias("_w")).distinct(), "_ok").where("_ok")
+        rows = rows.join(found.groupBy("_row").agg(F.collect_set(F.lower("_w")).alias("_good")), "_row", "left").drop("_row")
+    else:
+        rows = rows.withColumn("_good", F.lit(None).cast("array<string>"))
+        words = None
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fits = [_member(g) if by_list else looks_whole for g in b["_good"]]
+            yield b[keys].assign(text=[flowing_text(t, f) for t, f in zip(b["_raw"], fits)])
+
+    by_list = words is not None
+    return rows.mapInPandas(clean, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", text string")
+
+
+def _member(good) -> Callable[[str], bool]:
+    held = frozenset(good) if good is not None else frozenset()
+    return lambda w: w.lower() in held
+
+
+def cleaned_pages(lines: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """issue, page, text after all rules. A page whose lines were all removed has the text ''.
 
     The lines, and the lines with their marks, are read several times further on, so both are written
@@ -110,15 +193,15 @@ def cleaned_pages(lines: DataFrame) -> DataFrame:
     """
     lines = cut(lines)
     marked = cut(marked_lines(lines))
-    text = paragraphs(dehyphenated(marked.where("rule is null").select(*KEYS, "line_no", "line")))
+    text = paragraphs(dehyphenated(marked.where("rule is null").select(*KEYS, "line_no", "line"), words))
     return lines.select(*KEYS).distinct().join(text, KEYS, "left").select(*KEYS, F.coalesce("text", F.lit("")).alias("text"))
 
 
-def change_log(lines: DataFrame) -> DataFrame:
+def change_log(lines: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """issue, page, line_no, rule, before, after, removed, joined: one row per change, sparse by rule."""
     marked = cut(marked_lines(cut(lines)))
     null = F.lit(None).cast("string")
     r1 = marked.where("line <> raw").select(*KEYS, "line_no", F.lit("R1").alias("rule"), F.col("raw").alias("before"), F.col("line").alias("after"), null.alias("removed"), null.alias("joined"))
     r23 = marked.where("rule is not null").select(*KEYS, "line_no", "rule", null.alias("before"), null.alias("after"), F.col("line").alias("removed"), null.alias("joined"))
-    r4 = dehyphenated(marked.where("rule is null").select(*KEYS, "line_no", "line")).where("joined is not null").select(*KEYS, "line_no", F.lit("R4").alias("rule"), null.alias("before"), null.alias("after"), null.alias("removed"), "joined")
+    r4 = dehyphenated(marked.where("rule is null").select(*KEYS, "line_no", "line"), words).where("joined is not null").select(*KEYS, "line_no", F.lit("R4").alias("rule"), null.alias("before"), null.alias("after"), null.alias("removed"), "joined")
     return r1.unionByName(r23).unionByName(r4)

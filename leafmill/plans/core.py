@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import similarity as M
 from leafmill.functions import text as X
 from leafmill.operators import assembly, heads, replay, reports, rules
+from leafmill.plans.replay_sql import CLEAN_SQL, REPLAY_SQL
 from leafmill.registry import Registry
 from leafmill.session import table
 from leafmill.sources import files
@@ -548,20 +549,51 @@ def replay_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("article_id").agg(F.max_by(F.coalesce("text", F.lit("")), "event_id").alias("text"))
 
 
-@REGISTRY.add("replay_full")
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.folded(table(spark, sf_dir, "articles"), table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "annotations"))
+
+
+PAGES_AFTER = "CASE WHEN len(held_pages) > 0 THEN held_pages ELSE machine_pages END"
+
+
+@REGISTRY.add("replay_full", f"WITH RECURSIVE {REPLAY_SQL} SELECT issue, article_id, art_type, title, subtitle, author, {PAGES_AFTER} AS pages, array_to_string(frags, ',') AS fragments, status, verified_by, array_to_string(users, ',') AS users FROM replayed")
 def replay_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replayed(table(spark, sf_dir, "articles"), table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "annotations"))
 
 
-@REGISTRY.add("modified_by", f"""
-WITH u AS (SELECT article_id, user_name, min(event_id) AS f, count(*) AS n FROM annotations WHERE article_id IS NOT NULL AND user_name IS NOT NULL AND event_action IN {tuple(replay.CHANGING)} GROUP BY ALL)
-SELECT article_id, string_agg(user_name, ',' ORDER BY f) AS users, CAST(sum(n) AS BIGINT) AS n_changes FROM u GROUP BY article_id
+@REGISTRY.add("replay_status", f"WITH RECURSIVE {REPLAY_SQL} SELECT issue, count(*) AS n_articles, sum(CASE WHEN status = 'verified' THEN 1 ELSE 0 END) AS n_verified, sum(CASE WHEN status = 'modified' THEN 1 ELSE 0 END) AS n_modified FROM replayed GROUP BY issue")
+def replay_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of each issue by status after all events."""
+    return reports.status_counts(_folded(spark, sf_dir))
+
+
+@REGISTRY.add("replay_roles", f"WITH RECURSIVE {REPLAY_SQL} SELECT article_id, title, subtitle, author, art_type FROM replayed WHERE n_changes > 0")
+def replay_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, subtitle, author and type of the changed articles, as set or as taken from a region with that role."""
+    done = _folded(spark, sf_dir)
+    rows = replay.replayed(table(spark, sf_dir, "articles"), table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "annotations"), done)
+    changed = done.where("n_changes > 0").select("issue", "article_id")
+    return rows.join(changed, ["issue", "article_id"], "left_semi").select("article_id", "title", "subtitle", "author", "art_type")
+
+
+@REGISTRY.add("final_texts", f"""
+WITH RECURSIVE {REPLAY_SQL},
+body AS (SELECT issue, article_id, unnest(range(1, len(frags) + 1)) AS k, unnest(frags) AS frag, edits, roles FROM replayed WHERE override IS NULL),
+parts AS (SELECT b.issue, b.article_id, k, coalesce(edits[b.frag], CASE WHEN starts_with(b.frag, 'm:') THEN '' ELSE region_text END, '') AS t FROM body b LEFT JOIN reg r ON r.issue = b.issue AND r.frag = b.frag WHERE coalesce(roles[b.frag], '') NOT IN ('title', 'subtitle', 'author')),
+raws AS (SELECT a.issue, a.article_id, coalesce(string_agg(t, chr(10) ORDER BY k), '') AS raw FROM replayed a LEFT JOIN parts p ON p.issue = a.issue AND p.article_id = a.article_id WHERE a.override IS NULL GROUP BY ALL),
+{CLEAN_SQL}
+SELECT issue, article_id, text FROM cleaned UNION ALL SELECT issue, article_id, override FROM replayed WHERE override IS NOT NULL
 """)
+def final_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.final_texts(table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "annotations"), _folded(spark, sf_dir))
+
+
+@REGISTRY.add("modified_by", f"WITH RECURSIVE {REPLAY_SQL} SELECT article_id, array_to_string(users, ',') AS users, n_changes FROM replayed WHERE n_changes > 0")
 def modified_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.touched_by(table(spark, sf_dir, "annotations"))
+    return replay.touched_by(_folded(spark, sf_dir))
 
 
-@REGISTRY.add("activity_top400", "SELECT event_id, ts, user_name, event_action, article_id FROM annotations ORDER BY ts DESC, event_id LIMIT 400")
+@REGISTRY.add("activity_top400", "SELECT event_id, ts, user_name, event_action, article_id, count(*) OVER () AS n_all FROM annotations ORDER BY ts DESC, event_id LIMIT 400")
 def activity_top400(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.newest(table(spark, sf_dir, "annotations"))
 
@@ -626,14 +658,13 @@ def call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.call_stats(table(spark, sf_dir, "page_meta"))
 
 
-@REGISTRY.add("next_open", """
-WITH o AS (SELECT DISTINCT a.issue, a.article_id, CASE WHEN e.article_id IS NULL THEN a.article_id END AS open_id FROM articles a LEFT JOIN (SELECT DISTINCT article_id FROM annotations WHERE event_action = 'verify') e ON e.article_id = a.article_id)
+@REGISTRY.add("next_open", f"""
+WITH RECURSIVE {REPLAY_SQL}, o AS (SELECT issue, article_id, CASE WHEN status <> 'verified' THEN article_id END AS open_id FROM replayed)
 SELECT issue, article_id, coalesce(min(open_id) OVER (PARTITION BY issue ORDER BY article_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(open_id) OVER (PARTITION BY issue)) AS next_id FROM o
 """)
 def next_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    articles = table(spark, sf_dir, "articles").select("issue", "article_id")
-    checked = table(spark, sf_dir, "annotations").where("event_action = 'verify'").select("article_id")
-    return reports.next_in_ring(articles, articles.join(checked, "article_id", "left_anti"))
+    done = _folded(spark, sf_dir)
+    return reports.next_in_ring(done, done.where("status <> 'verified'"))
 
 
 @REGISTRY.add("page_export", r"SELECT issue, stage, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY page, text), '^\s+|\s+$', '', 'g') AS text, count(*) AS n_pages FROM stage_pages WHERE text IS NOT NULL GROUP BY issue, stage")
