@@ -84,10 +84,10 @@ def work_records(regions: DataFrame, units: DataFrame, works: DataFrame) -> Data
 
 
 def claims(articles: DataFrame) -> DataFrame:
-    """article_id, issue, page, region_order, at: every region an article claims, in its order."""
+    """article_id, issue, page, region_order, at (fragment, region): every region an article claims, in its order."""
     rows = articles.select("article_id", "issue", F.posexplode("fragments").alias("_f", "fragment"))
     return rows.select("article_id", "issue", F.col("fragment.page").alias("page"), "_f", F.posexplode("fragment.region_ids").alias("_r", "region_order")).select(
-        "article_id", "issue", "page", "region_order", (F.col("_f") * 100_000 + F.col("_r")).alias("at")
+        "article_id", "issue", "page", "region_order", F.struct(F.col("_f").alias("f"), F.col("_r").alias("r")).alias("at")
     )
 
 
@@ -123,20 +123,20 @@ def search(articles: DataFrame, text: str = "", art_type: str = "") -> DataFrame
     return rows.where(F.coalesce("art_type", F.lit("other")) == art_type) if art_type else rows
 
 
-def box_map(regions: DataFrame, articles: DataFrame, furniture: DataFrame) -> DataFrame:
+def box_map(regions: DataFrame, owners: DataFrame, furniture: DataFrame, unsorted: DataFrame) -> DataFrame:
     """issue, page, region_order, box, owner, kind: every region's short id and what it belongs to.
 
-    The id is the page and a letter in reading order (Z and the number from the 27th on). Of an article,
-    furniture, and nothing, the first that applies; of several articles the first.
+    The id is the page and a letter in reading order (Z and the number from the 27th on). The kind is the
+    first that applies of article, furniture, unsorted, unassigned. ``owners`` has issue, page,
+    region_order, owner with one row for a region; ``furniture`` and ``unsorted`` have the keys alone.
     """
+    keys = ["issue", "page", "region_order"]
     w = Window.partitionBy("issue", "page").orderBy("region_order")
-    boxes = regions.select("issue", "page", "region_order").distinct().withColumn("_i", F.row_number().over(w) - 1)
+    boxes = regions.select(*keys).distinct().withColumn("_i", F.row_number().over(w) - 1)
     letter = F.when(F.col("_i") < 26, F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("_i") + 1, F.lit(1))).otherwise(F.concat(F.lit("Z"), "_i"))
-    owners = claims(articles).groupBy("issue", "page", "region_order").agg(F.min("article_id").alias("owner"))
-    marked = furniture.select("issue", "page", "region_order").distinct().withColumn("_furniture", F.lit(True))
-    keys = ["issue", "page", "region_order"]
-    rows = boxes.join(owners, keys, "left").join(marked, keys, "left")
-    kind = F.when(F.col("owner").isNotNull(), "article").when(F.col("_furniture"), "furniture").otherwise("unassigned")
+    marked = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
+    rows = boxes.join(owners.select(*keys, "owner"), keys, "left").join(marked(furniture, "_furniture"), keys, "left").join(marked(unsorted, "_unsorted"), keys, "left")
+    kind = F.when(F.col("owner").isNotNull(), "article").when(F.col("_furniture"), "furniture").when(F.col("_unsorted"), "unsorted").otherwise("unassigned")
     return rows.select(*keys, F.concat(F.col("page"), letter).alias("box"), "owner", kind.alias("kind"))
 
 

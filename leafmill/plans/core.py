@@ -488,23 +488,32 @@ def opening_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("article_id", X.head_words(F.col("w"), 12).alias("first_words"), X.tail_words(F.col("w"), 12).alias("last_words"))
 
 
-FURNITURE_SQL = r"furn AS (SELECT DISTINCT issue, page, region_order FROM layout_regions WHERE regexp_replace(lower(label), '[^a-z]', '', 'g') IN ('pageheader', 'pagefooter') UNION SELECT issue, TRY_CAST(split_part(frag, ':', 1) AS INTEGER), TRY_CAST(split_part(frag, ':', 2) AS INTEGER) FROM annotations WHERE event_action = 'frag_furniture' AND regexp_full_match(frag, '\d+:\d+'))"
+FURNITURE_SQL = r"""
+t0 AS (SELECT DISTINCT issue, page, region_order, regexp_replace(lower(label), '[^a-z]', '', 'g') IN ('pageheader', 'pagefooter') OR regexp_full_match(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\d{1,4}') AS furniture
+  FROM layout_regions WHERE regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> ''),
+furn AS (SELECT issue, page, region_order FROM t0 WHERE furniture UNION SELECT issue, TRY_CAST(split_part(frag, ':', 1) AS INTEGER), TRY_CAST(split_part(frag, ':', 2) AS INTEGER) FROM annotations WHERE event_action = 'frag_furniture' AND regexp_full_match(frag, '\d+:\d+')),
+uns AS (SELECT issue, page, region_order FROM t0 WHERE NOT coalesce(furniture, false) EXCEPT SELECT issue, page, region_order FROM claims)
+"""
 
 
 @REGISTRY.add("box_map", f"""
-WITH {CLAIMS_SQL}, {FURNITURE_SQL},
+WITH RECURSIVE {REPLAY_SQL}, {CLAIMS_SQL}, {FURNITURE_SQL},
 boxes AS (SELECT issue, page, region_order, row_number() OVER (PARTITION BY issue, page ORDER BY region_order) - 1 AS i FROM (SELECT DISTINCT issue, page, region_order FROM layout_regions)),
-own AS (SELECT issue, page, region_order, min(article_id) AS owner FROM claims GROUP BY ALL)
+own AS (SELECT issue, frag, arg_min(article_id, ord) AS owner FROM (SELECT issue, article_id, ord, unnest(frags) AS frag FROM replayed) GROUP BY ALL)
 SELECT b.issue, b.page, b.region_order, b.page || CASE WHEN i < 26 THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(i + 1 AS INTEGER), 1) ELSE 'Z' || i END AS box, owner,
-CASE WHEN owner IS NOT NULL THEN 'article' WHEN f.issue IS NOT NULL THEN 'furniture' ELSE 'unassigned' END AS kind
-FROM boxes b LEFT JOIN own USING (issue, page, region_order) LEFT JOIN furn f ON f.issue = b.issue AND f.page = b.page AND f.region_order = b.region_order
+CASE WHEN owner IS NOT NULL THEN 'article' WHEN f.issue IS NOT NULL THEN 'furniture' WHEN u.issue IS NOT NULL THEN 'unsorted' ELSE 'unassigned' END AS kind
+FROM boxes b LEFT JOIN own o ON o.issue = b.issue AND o.frag = b.page || ':' || b.region_order LEFT JOIN furn f ON f.issue = b.issue AND f.page = b.page AND f.region_order = b.region_order
+LEFT JOIN uns u ON u.issue = b.issue AND u.page = b.page AND u.region_order = b.region_order
 """)
 def box_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes after all corrections: their articles, what machine or people call furniture, and what nothing claimed."""
     regions = table(spark, sf_dir, "layout_regions")
-    machine = regions.where(X.normalize_label(F.col("label")).isin("pageheader", "pagefooter")).select("issue", "page", "region_order")
+    units = assembly.page_units(regions)
     people = table(spark, sf_dir, "annotations").where(F.col("event_action") == "frag_furniture").where(F.col("frag").rlike(r"^\d+:\d+$"))
-    people = people.select("issue", F.split_part("frag", F.lit(":"), F.lit(1)).cast("int").alias("page"), F.split_part("frag", F.lit(":"), F.lit(2)).cast("int").alias("region_order"))
-    return assembly.box_map(regions, table(spark, sf_dir, "articles"), machine.unionByName(people).distinct())
+    people = people.select("issue", F.split_part("frag", F.lit(":"), F.lit(1)).try_cast("int").alias("page"), F.split_part("frag", F.lit(":"), F.lit(2)).try_cast("int").alias("region_order"))
+    keys = ["issue", "page", "region_order"]
+    unsorted = units.where("kind <> 'furniture'").select(*keys).join(assembly.claims(table(spark, sf_dir, "articles")), keys, "left_anti")
+    return assembly.box_map(regions, replay.owners(_folded(spark, sf_dir)), units.where("kind = 'furniture'").select(*keys).unionByName(people), unsorted)
 
 
 @REGISTRY.add("coverage_check", f"""

@@ -66,7 +66,7 @@ st AS (
   )
 ),
 fin AS (SELECT s.* FROM st s LEFT JOIN (SELECT e_issue, max(n) AS last FROM ev GROUP BY ALL) l ON l.e_issue = s.issue WHERE s.n = coalesce(l.last, 0) AND id IS NOT NULL AND (len(frags) > 0 OR coalesce(override, '') <> '')),
-replayed AS (SELECT issue, id AS article_id, art_type, title, subtitle, author, frags, override, edits, roles, n_changes, users,
+replayed AS (SELECT issue, ord, id AS article_id, art_type, title, subtitle, author, frags, override, edits, roles, n_changes, users,
     list_sort(list_distinct(list_filter(list_transform(frags, lambda k: TRY_CAST(split_part(k, ':', 1) AS INTEGER)), lambda p: p <> 0))) AS held_pages, pages AS machine_pages,
     CASE WHEN verified_at >= last_mod AND verified_at <> '' THEN 'verified' WHEN n_changes > 0 THEN 'modified' ELSE 'auto' END AS status, verified_by FROM fin)
 """
