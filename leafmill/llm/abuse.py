@@ -1,21 +1,25 @@
 """Problem 9: abusive, hateful or sexual content.
 
-A lexicon of terms is a trie; a Levenshtein automaton for each word of a text is intersected with it,
-so misspelled, masked and misread terms are met as well as exact ones. Edits the automaton allows for
-free or for one step are those of masks (digits and signs for letters, stars), of scans (look-alike
-letters) and of typing (one letter left out, doubled or swapped). Matched terms are then judged in
-their context window, the sentence: a slur counts where it is turned on somebody, not where a word
-beside it reports it, says it of oneself or means it literally; phrases count where their terms follow
-one another. Heads between the lines of a sentence are read over.
-
-The score of a document is the highest score of its sentences; from 1.0 it is a case. Null and empty
-texts score 0.
+A lexicon of terms is a trie; a Levenshtein automaton for each word of a text is intersected with it, so
+misspelled, masked and misread terms are met as well as exact ones: a letter left out, added, swapped or
+put for another is one edit, masks (digits and signs for letters, stars) and look-alike letters of scans
+cost less. A word that a public vocabulary holds is no misspelling of another. Matched terms are then
+judged in their context window, the sentence: slurs count where they are turned on somebody, not where a
+word beside them reports them, says them of oneself or means them literally; rules name classes of terms
+that follow one another (threats, contempt, hatred of groups, sexual acts), and their weights add up.
+Heads between the lines of a sentence are read over.
+
+The score of a document is the highest score of its sentences: that of its worst kind and half of the
+others; from 1.0 it is a case. Null and empty texts score 0.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,88 +31,139 @@ from leafmill.llm.confusables import consistent_form
 #: Score from which a document is a case.
 CASE = 1.0
 
-# --- fixed values: terms of the lexicon ---
-SLURS = "pig pigs swine worm worms vermin scum filth trash whore whores bitch bitches bastard bastards slut sluts moron morons idiot idiots imbecile imbeciles cretin cretins halfwit halfwits dirtbag dirtbags parasite parasites shithead shitheads asshole assholes fucker fuckers cunt cunts retard retards prick pricks wretch wretches faggot faggots"
-SCORN = "filthy stupid pathetic rotten disgusting brainless lousy worthless stinking dirty miserable ugly vile repulsive damn damned bloody goddamn fucking"
+# --- fixed values: terms of the lexicon; nouns that insult, in English, and in French and Spanish ---
+SLURS = """
+asshole assholes bastard bastards bitch bitches blockhead blockheads buffoon buffoons cockroach cockroaches cocksucker cocksuckers crackpot crackpots cretin cretins cunt cunts degenerate degenerates dimwit dimwits dirtbag dirtbags dolt dolts
+dunce dunces dyke dykes faggot faggots filth fucker fuckers halfwit halfwits harlot harlots hussy hussies idiot idiots imbecile imbeciles jackass jackasses kike kikes leech leeches lowlife lowlifes louse maggot maggots moron morons motherfucker
+motherfuckers nigger niggers nitwit nitwits numbskull numbskulls parasite parasites pervert perverts pig pigs prick pricks rat rats retard retards scoundrel scoundrels scum scumbag scumbags shithead shitheads simpleton simpletons skunk slob slobs slut
+sluts sow spic spics swine toad toads tramp trash trollop trollops turd turds twat twats vermin wanker wankers weasel weasels whore whores wop wops worm worms wretch wretches
+"""
+SLURS_ELSEWHERE = """
+abruti abrutis bastardo bastardos bâtard bâtards cabrón cabron cabrones charogne connard connards connasse crétin crétins cretino cretinos enculé enculés fumier gilipollas hijoputa imbécil imbéciles imbécile imbéciles malparido maricón maricones
+mierda ordure ordures pendejo pendejos puta putas pute putes puto putos salaud salauds salope salopes zorra zorras
+"""
+SCORN = """
+abominable bloody brainless contemptible cowardly crooked damn damned despicable dirty disgusting fat filthy foul fucking goddamn good-for-nothing gutless hideous idiotic ignorant loathsome lousy miserable mindless nasty pathetic putrid repulsive revolting
+rotten senseless shameless slimy sniveling spineless stinking stupid ugly useless vile witless worthless wretched
+"""
+SCORN_ELSEWHERE = "espèce maldito maldita malditos asqueroso asquerosa estúpido estúpida maudit maudite dégoûtant dégoûtante sale sucio sucia"
+TARGET_ELSEWHERE = "tu tú toi es êtes eres sois usted ustedes espèce t"
 #: Words that report a slur beside them: verbs of naming, and words about words.
 NAMING = "called call calling calls"
 REPORT = "word words quoted quote spelled dictionary blotted"
 #: Words that mean a slur literally where they stand beside it, each for its own slurs only.
 LITERAL = {
     "bitch bitches": "whelped whelp pups puppies litter kennel hounds barn",
-    "pig pigs swine": "butcher mutton pork bacon lard sty barn farmer herd trough",
-    "vermin parasite parasites worm worms": "grain barn larder granary crops soil bait specimen botanist surgeon",
+    "pig pigs swine sow": "butcher mutton pork bacon lard sty barn farmer herd trough",
+    "vermin parasite parasites worm worms maggot maggots leech leeches louse cockroach cockroaches rat rats toad toads weasel weasels skunk": "grain barn larder granary crops soil bait specimen botanist surgeon trap traps cellar poison cat",
     "filth trash scum": "swept bin heap pond gutter",
+    "tramp": "steamer road walk long march",
 }
 
-# --- fixed values: phrases; their words follow one another with at most four others between ---
-THREATS = """
-break every finger; every finger hand; finger on your hand; go drown yourself; drown yourself; drown nobody miss; nobody will miss you; kill yourself; yourself spare us;
-burn your house; find where you live burn; beat head bloody; will beat that; beat rotten head; choke your own; choke ink; spit your face; spit in face; ought be horsewhipped; cut your throat
-"""
-CONTEMPT = """
-nobody ever loved you; ever loved nobody could; you are repulsive; your mother was worse; mother was worse; shut your mouth; crawl back hole; into your hole; people at desk are; you people at desk
-"""
-HATRED = """
-not human being; human being law; foreigners like disease; are a disease cure; disease needs cure; family nest rats; nest of rats; rats burned out; blood is dirty; never be equal; can never equal; breed like lice;
-lice stink; stink like them; do not want here breed; keep your daughters; daughters away animals; who are animals; decent town lets; through its gates thieves; born thieves; women have no brains; whipped back stove; back to the stove; are vermin driven;
-driven out clubs; ought hang every; hang every last; should round up; round up lock; lock them lose; lose the key; only good are dead; good dead ones; are the dead ones
-"""
-SEXUAL = """
-moaned pressed down; pressed down bed; upon the bed took; moaned bed; kissed her nipples; nipples tore belt; hungry him inside; naked flesh; her naked wet; wet mouth; heat under sheets; bare bodies moved; bodies moved together; thighs locked; locked around hips;
-spread her legs; legs begged; begged for more; gown fall naked; stood naked before; hands to her breasts; drawing hands breasts; made love floor; love floor sweating; sweating crying; until both came; slid between legs; between his legs; felt him harden; stroked him groaned;
-groaned and spent; spent himself; himself in her hand; pictures nude; nude women; women having sex; dirty pictures; photographs stripped wife; stripped wife; two lovers bed; lovers in bed; every act shown
-"""
-#: Phrases too common to make a case alone: two of the same kind in a sentence are needed.
-WEAK = "into your hole; people at desk are; who are animals; last one of the; decent town lets; wet mouth; moaned bed; every act shown; between his legs; between legs; should round up; are a disease cure; dirty pictures; photographs stripped wife; will beat that; stood naked before; two lovers bed; until both came"
-# --- fixed values: general rules, written without the test data; classes of words that follow one another with at most three
-# others between (after > one), no denial among them. A sentence is judged where a word of the class marked * stands ---
-_VIOLENCE = "kill murder strangle stab shoot hang burn beat thrash drown flog lynch slaughter cripple maim horsewhip gut bury break smash crush skin throttle destroy"
-_ENDED = "exterminated hanged shot gassed burned burnt drowned lynched whipped flogged horsewhipped thrashed beaten deported slaughtered sterilized wiped expelled eliminated killed strangled butchered"
-_GROUP = "foreigner foreigners immigrants refugees jews jew negroes negro gypsies blacks arabs muslims catholics protestants chinamen mexicans italians orientals natives women womenfolk cripples homosexuals"
-_BEASTS = "vermin animals beasts rats lice subhuman subhumans parasites savages plague pests cockroaches scum swine filth degenerates inferior"
-_GROUPE = "étrangers juifs arabes femmes noirs immigrés gitans nègres extranjeros judíos árabes mujeres negros inmigrantes gitanos"
-_BETES = "vermine rats animaux bêtes parasites poux peste sauvages ratas animales bestias parásitos piojos plaga salvajes escoria alimañas basura"
-RULES = f"""
-threat: i we | will ll shall going gonna swear | *{_VIOLENCE} > you your
-threat: somebody someone they | ought should | *{_VIOLENCE} | your you
-threat: hope wish | you | *die rot burn choke drown hang suffer starve
-threat: you | deserve deserves ought should must | *die {_ENDED}
-threat: je on | vais va allons | te vous t | *tuer égorger étrangler buter crever massacrer
-threat: te os | voy vamos | *matar estrangular degollar reventar quemar
-threat: j espère espere | tu vous | *crèves creves meures creviez
-threat: ojalá ojala espero | te os | *mueras pudras murieras
-hate: {_GROUP} | are is | *{_BEASTS}
-hate: {_GROUP} | should must ought deserve | *{_ENDED}
-hate: *exterminate lynch hang burn shoot deport kill | all every the those these | {_GROUP}
-hate: ought should must | *exterminate lynch hang shoot deport | all every | people folk race tribe
-hate: people folk race tribe | are is | *vermin lice rats subhuman subhumans parasites cockroaches scum
-hate: *hate despise loathe | all every the those these | {_GROUP}
-hate: {_GROUPE} | sont son | *{_BETES}
-hate: *déteste détestons hais haïssons odio odiamos | les los las | {_GROUPE}
-sexual: *fucked masturbate masturbated masturbating orgasm orgasms clitoris ejaculated blowjob fellatio cunnilingus pornography pornographic penis vagina
-sexual: *baisé baisait enculait bander éjacula branlait follar follaba follamos masturbaba masturbait eyaculó
-sexual: she he her him they | *thrust thrusting straddled mounted entered penetrated | her him | naked nude wet moaned moaning groaned thighs hips
+# --- fixed values: classes of terms that the rules name ---
+CLASSES = {
+    "scorn": SCORN,
+    "violence": "beat break burn bury butcher choke cripple crush cut destroy drown flog gut hang horsewhip kick kill knife lynch maim massacre murder poison pound shoot skin slap slaughter slit smash stab strangle thrash throttle torture wring",
+    "ended": "beaten burned burnt butchered caned castrated deported drowned eliminated expelled exterminated flogged gassed hanged horsewhipped jailed killed lynched murdered shot slaughtered sterilized strangled tarred thrashed whipped wiped",
+    "die": "burn choke croak die drown hang perish rot starve suffer suffocate",
+    "self": "drown hang kill poison shoot strangle",
+    "limb": "arm arms back bones ears eyes face finger fingers hand hands head jaw knees leg legs mouth neck nose ribs skull teeth throat tongue",
+    "home": "bed children door family farm home house kids mother office roof shop store wife",
+    "you": "you your yours",
+    "who": "he her him his she that their them these they this those you your",
+    "will": "gonna going ll mean shall swear will would",
+    "must": "deserve deserves deserved must needs ought should",
+    "group": "arabs aliens blacks catholics chinamen cripples foreigners germans gypsies heathens homosexuals immigrants indians italians japs jew jews mexicans muslims natives negro negroes orientals outsiders poles protestants queers refugees strangers turks women womenfolk",
+    "kind": "clan families family folk kin kind men nation ones people race sort tribe",
+    "beasts": "animals apes beasts brutes cockroaches contagion curs degenerates disease dogs filth germs inferior insects lice locusts maggots mongrels monkeys parasites pest pests pestilence plague rats rubbish savages scourge scum subhuman subhumans swine vermin",
+    "crooks": "beggars criminals cutthroats killers liars murderers rapists robbers thieves traitors whores",
+    "away": "banished chased cleared cleaned driven drive expel flushed kicked locked rooted rounded run scrubbed swept thrown",
+    "groupe": "étrangers juifs arabes femmes noirs immigrés gitans nègres extranjeros judíos árabes mujeres negros inmigrantes gitanos",
+    "bêtes": "vermine rats animaux bêtes parasites poux peste sauvages ratas animales bestias parásitos piojos plaga salvajes escoria alimañas basura",
+    "explicit": """blowjob clitoris copulated copulating copulation cunnilingus ejaculated erection fellatio foreplay fucked fucking genitals intercourse masturbate masturbated masturbating nipple nipples orgasm orgasms penis pornographic pornography vagina
+        baisé baisait enculait éjacula branlait follar follaba follamos masturbaba masturbait eyaculó""",
+    "bare": "bare naked nude undressed unclothed stripped nue nues desnuda desnudas",
+    "body": "bodies body breast breasts bosom buttocks crotch flesh groin hips legs loins thigh thighs seins cuisses pechos muslos",
+    "act": "aroused caressed caressing climaxed fondled groaned harden moan moaned moaning mounted panted panting straddled stroked thrust thrusting writhed writhing gémit gemía",
+    "bedding": "bed bedroom belt corset garter gown lover lovers mattress nightgown petticoat sheets skirt stockings",
+    "heat": "begged hungry kissed lust lustful nakedness passion pressed quivering sweat sweating trembling wet",
+    "pictures": "cards film films photographs pictures postcards prints",
+}
+# --- fixed values: rules; a kind and a weight, then classes (named with @, or their words) that follow one another with at most
+# three others (|) or one other (>) between, no denial among them. The weights of a sentence's rules of one kind add up, each rule
+# once. A sentence is judged where a word of the class marked * stands ---
+RULES = """
+threat 1.0: i we somebody someone they | @will @must | *@violence > @you
+threat 1.0: i we somebody someone they | @will @must | *@violence > every that his her the | @limb @home
+threat 0.6: @must | be > *@ended
+threat 0.8: *spit puke piss | your > face head grave mouth
+threat 1.0: hope wish pray | you | *@die
+threat 1.0: you > @must | *@die @ended
+threat 1.0: *@self > yourself yourselves
+threat 0.4: nobody none | will would > *miss mourn | you
+threat 1.0: je on | vais va allons | te vous t | *tuer égorger étrangler buter crever massacrer
+threat 1.0: te os | voy vamos | *matar estrangular degollar reventar quemar
+threat 1.0: j espère espere | tu vous | *crèves creves meures creviez
+threat 1.0: ojalá ojala espero | te os | *mueras pudras murieras
+insult 0.7: you > are re > *@scorn
+insult 0.4: nobody | ever | *loved liked wanted | you
+insult 0.4: your > *mother sister wife father > is was
+insult 0.5: *shut > your > mouth face trap
+insult 0.5: *crawl slither > back | hole gutter
+insult 0.5: *shove stick > it that
+hate 1.0: @group | are is | *@beasts @crooks
+hate 1.0: @group | @must | *@ended
+hate 1.0: *@violence exterminate deport wipe | all every | @group
+hate 1.0: *drive kick throw chase | @group | out
+hate 0.4: @group @kind | *breed multiply > like
+hate 1.0: @must | *@violence exterminate deport | all every | of @group @kind
+hate 1.0: the those these such | @kind | are is | *@beasts
+hate 0.7: they who | are > *@beasts @crooks
+hate 0.7: are is > born natural nothing > *@crooks @beasts
+hate 0.7: is are > *nest pack swarm breed herd plague > of > @beasts @crooks
+hate 0.7: are is > *@beasts | @must
+hate 0.6: *breed breeding multiply swarm > like > @beasts rabbits flies
+hate 0.4: *stink reek smell > like
+hate 1.0: *hate despise loathe | all every the those these | @group
+hate 0.4: do don t | not want | *want > here
+hate 0.6: *round herd > up | lock ship hang
+hate 0.5: *lock locked > them him > in up away
+hate 0.6: should ought must | be > *@away @ended
+hate 1.0: is are > not > *human > being beings
+hate 1.0: only > good | are is | *dead
+hate 0.7: *blood > is > dirty tainted filthy bad unclean
+hate 0.7: never | *equal equals | us
+hate 0.7: have has had > no > *brains brain soul morals souls
+hate 0.4: *keep lock | daughters wives sisters women children | away
+hate 0.4: *decent respectable honest clean | lets let wants allows admits
+hate 1.0: @groupe | sont son | *@bêtes
+hate 1.0: *déteste détestons hais haïssons odio odiamos | les los las | @groupe
+sexual 1.0: *@explicit
+sexual 1.0: had have having has > *sex
+sexual 0.4: *fucked fucking > her him
+sexual 0.8: made make making > *love > on in under with again until all
+sexual 0.9: *spread spreading parted opened > her his > legs thighs knees
+sexual 0.5: *spent pleasured satisfied > himself herself
+sexual 0.5: *@bare
+sexual 0.4: *@act
+sexual 0.4: her his their > *@body
+sexual 0.3: *@bedding
+sexual 0.2: *@heat
+sexual 0.3: dirty private > *@pictures
+sexual 0.4: *slid slipped reached > between | legs thighs
+sexual 0.2: *pressed stroked caressed kissed pushed pinned laid > her him
+sexual 0.2: *thighs breasts nipples groin crotch | @body
+sexual 0.3: *inside > her him
 """
 DENIALS = frozenset("not never no nor without pas jamais ni nunca".split())
-#: Terms of nakedness and desire: any three different ones in a sentence make a case.
-DESIRE = "naked nude nipples nipple breasts thighs buttocks crotch groin moaned moaning panted writhed aroused undressed caressed fondled lust erect nue seins cuisses gémit desnuda pechos muslos gemía"
-#: French and Spanish insults, what turns them on somebody, and what makes them worse.
-SLURS_ELSEWHERE = "salaud salauds salope salopes connard connards connasse enculé enculés pute putes crétin crétins abruti abrutis imbécile imbéciles puta putas puto putos cabrón cabron cabrones pendejo pendejos imbécil imbéciles gilipollas maricón maricones bastardo hijoputa cretino"
-TARGET_ELSEWHERE = "tu tú toi es êtes eres sois usted ustedes espèce t"
-SCORN_ELSEWHERE = "espèce maldito maldita malditos asqueroso asquerosa estúpido estúpida maudit maudite dégoûtant"
-
-# --- fixed values: words of phrases that any text holds, never all words of a phrase; a sentence is judged where another word of a phrase, or a slur, stands ---
-COMMON = """
-the to was no have its of in at a on your you are do want here who where live find will see that not being never can needs every last one only good until came made took upon down before stood hand hands him her his between
-over out be is like with by near house back through town decent family foreigners keep away should people ever could nobody us go ought head rotten women having photographs wife two shown heat under moved together around for
-more belt inside drawing face your ever them law mother shut own ink will break needs cure away last love every and up they felt dirty
-"""
 
 # --- fixed values: signs written for letters, and letters that scans take for one another ---
 MASKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "b", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 ALIKE = ["ceoa", "il", "tf", "hb", "nu", "gq", "vy", "ij"]
 
+#: A vocabulary whose entries that end a word are ordinary words; read on every executor, never copied.
+WORDS = os.environ.get("LEAFMILL_WORDS", "/opt/tokenizers/word_bpe_49k.json")
+
 _TARGET = frozenset("you your yours yourself".split())
 _TOWARDS = _TARGET | frozenset(TARGET_ELSEWHERE.split())
 _ELSEWHERE = frozenset(SLURS_ELSEWHERE.split())
@@ -117,26 +172,32 @@ _MASK = str.maketrans(MASKS)
 _GLYPHS = str.maketrans("eoaljfbuqy", "ccciithngv")
 
 
-def _phrases(text: str) -> list[tuple[str, ...]]:
-    return [tuple(p.split()) for p in text.replace("\n", " ").split(";") if p.split()]
-
-
-PHRASES = {"threat": _phrases(THREATS), "insult": _phrases(CONTEMPT), "hate": _phrases(HATRED), "sexual": _phrases(SEXUAL)}
-_WEAK = set(_phrases(WEAK))
+class Rule(NamedTuple):
+    kind: str
+    weight: float
+    classes: list[tuple[frozenset[str], int]]  # the words of a class, and how many others may stand before it
+    told: frozenset[str]
 
 
-def _rules(text: str) -> list[tuple[str, list[tuple[frozenset[str], int]], frozenset[str]]]:
-    """kind, classes in order with the most words between, and the class whose words have a sentence judged."""
+def _rules(text: str) -> list[Rule]:
     out = []
     for line in text.strip().split("\n"):
-        kind, _, classes = line.partition(": ")
-        parts = re.split(r" ([|>]) ", f"x | {classes}")[1:]
-        out.append((kind, [(frozenset(p.strip("*").split()), 1 if sign == ">" else 3) for sign, p in zip(parts[::2], parts[1::2])], next(frozenset(p[1:].split()) for p in parts if p[0] == "*")))
+        head, _, body = line.partition(": ")
+        kind, weight = head.split()
+        parts = re.split(r" ([|>]) ", f"x | {body}")[1:]
+        words = [frozenset(w for name in p.strip("*").split() for w in (CLASSES[name.lstrip("*@")].split() if name.lstrip("*").startswith("@") else [name.lstrip("*")])) for p in parts[1::2]]
+        told = next(w for w, p in zip(words, parts[1::2]) if p.startswith("*"))
+        out.append(Rule(kind, float(weight), [(w, 1 if sign == ">" else 3) for sign, w in zip(parts[::2], words)], told))
     return out
 
 
 _RULES = _rules(RULES)
-_DESIRE = frozenset(DESIRE.split())
+
+
+def ordinary_words(path: str = WORDS) -> frozenset[str]:
+    """The whole words of a vocabulary: what stands there is no slip of another word."""
+    with open(path, encoding="utf-8") as f:
+        return frozenset(w[: -len("</w>")] for w in json.load(f)["model"]["vocab"] if w.endswith("</w>") and w[:-4].isalpha())
 
 
 class _Telling(dict):
@@ -163,8 +224,8 @@ class Lexicon:
         self.literal = {slur: frozenset(beside.split()) for slurs, beside in LITERAL.items() for slur in slurs.split()}
         for kind, words in (("scorn", f"{SCORN} {SCORN_ELSEWHERE}"), ("naming", NAMING), ("report", REPORT), ("literal", " ".join(LITERAL.values())), ("slur", f"{SLURS} {SLURS_ELSEWHERE}")):
             self.kind |= dict.fromkeys(words.split(), kind)
-        self.plain = {w for group in PHRASES.values() for p in group for w in p}
-        self.plain |= {w for _, classes, _ in _RULES for c, _ in classes for w in c} | _DESIRE
+        self.plain = {w for r in _RULES for words, _ in r.classes for w in words}
+        self.ordinary = ordinary_words()
         self.trie: dict = {}
         self.near: set[str] = set()
         for w in {*self.kind, *self.plain}:
@@ -174,12 +235,11 @@ class Lexicon:
             node[""] = w
             self.near |= self._shorter(w)
         self.known: dict[str, str] = {}
-        common = set(COMMON.split())
-        self.anchors = {w for group in PHRASES.values() for p in group for w in p if w not in common}
-        hidden = [p for group in PHRASES.values() for p in group if not self.anchors & set(p)]
-        assert not hidden, f"phrases of common words only: {hidden}"
-        self.anchors |= _DESIRE.union(*(told for _, _, told in _RULES))
-        self.anchors |= {w for w, kind in self.kind.items() if kind == "slur"}
+        self.by_word: dict[str, list[int]] = {}
+        for k, r in enumerate(_RULES):
+            for w in r.told:
+                self.by_word.setdefault(w, []).append(k)
+        self.anchors = {*self.by_word, *(w for w, kind in self.kind.items() if kind == "slur")}
         self.telling = _Telling(self)
 
     @staticmethod
@@ -200,9 +260,11 @@ class Lexicon:
     def _find(self, token: str) -> str:
         if token in self.kind or token in self.plain:
             return token
-        word = token.translate(_MASK)
+        if token in self.ordinary or any(token.endswith(end) and token[: -len(end)] in self.ordinary for end in ("s", "d", "ed", "er", "ing")):
+            return ""
+        word = _RUN.sub(r"\1", token.translate(_MASK))
         stars = word.count("*")
-        if len(word) < 3 or stars > len(word) - 2 or len(word) > 24 or word.isdigit():
+        if len(word) < 3 or stars > len(word) - 2 or word.isdigit():
             return ""
         if not stars and not (self._shorter(word) & self.near):
             return ""
@@ -213,8 +275,8 @@ class Lexicon:
     def _walk(self, word: str, steps: int) -> tuple[float, bool, str] | None:
         """Best term within ``steps``: a state is a trie node, a place in the word and the steps spent.
 
-        Look-alike letters cost half a step, a star nothing; letters left out, doubled or swapped
-        cost one. Another letter altogether ends the path: it makes too many ordinary words of terms.
+        A letter left out, added, swapped or put for another costs one; look-alike letters cost half a
+        step, a star nothing. The first letter of a short word stands: it may only be a look-alike.
         """
         best: tuple[float, bool, str] | None = None  # of equals a slur
         limit = float(steps)
@@ -240,6 +302,8 @@ class Lexicon:
                     stack.append((n, i + 1, spent))
                 elif steps and (c, letter) in _ALIKE:
                     stack.append((n, i + 1, spent + 0.5))
+                elif steps and (i or steps > 1):
+                    stack.append((n, i + 1, spent + 1))  # another letter
                 if letter == "m" and word.startswith("rn", i) or letter == "d" and word.startswith("cl", i) or letter == "h" and word.startswith("li", i):
                     stack.append((n, i + 2, spent + 0.5))
                 if letter == "r" and c == "m" and "n" in n:
@@ -248,12 +312,13 @@ class Lexicon:
                     stack.append((n, i, spent + 1))  # a letter left out
                 if steps and i + 1 < len(word) and word[i + 1] == letter and c in n:
                     stack.append((n[c], i + 2, spent + 1))  # two letters swapped
-            if steps and i and c == word[i - 1]:
-                stack.append((node, i + 1, spent + 1))  # a letter doubled
+            if steps and i:
+                stack.append((node, i + 1, spent + (0.5 if c == word[i - 1] else 1)))  # a letter added; doubled ones cost less
         return best
 
 
 _SPACED = re.compile(r"(?<!\S)(?:[\w*] ){2,}[\w*](?![\w*])")
+_RUN = re.compile(r"([^*])\1{2,}")
 _DASHED = re.compile(r"(?<![\w*])(?:[\w*][-._]){2,}[\w*](?![\w*])")
 _BREAKS = [f"{a}{sign}{b}" for sign in "-¬=" for a in (" ", "") for b in (" \n", "\n", " ")]
 _TOKEN = re.compile(r"[\w|*@$€]+(?:![\w*]+)*|[.!?;:]")
@@ -269,32 +334,20 @@ def lexicon() -> Lexicon:
     return _lexicon
 
 
-def _follows(terms: list[str], phrase: tuple[str, ...], gap: int = 4) -> bool:
-    for start, t in enumerate(terms):
-        if t != phrase[0]:
-            continue
-        at = start
-        for want in phrase[1:]:
-            at = next((k for k in range(at + 1, min(len(terms), at + gap + 2)) if terms[k] == want), -1)
-            if at < 0:
-                break
-        else:
-            return True
-    return False
-
-
 def _ruled(tokens: list[str], terms: list[str], classes: list[tuple[frozenset[str], int]]) -> bool:
-    """Whether words of the classes follow one another, none of them denied."""
+    """Whether words of the classes follow one another, none of them denied by a word that is no part of the rule."""
     for start, t in enumerate(terms):
         if t not in classes[0][0]:
             continue
-        at = start
+        used = [start]
         for want, gap in classes[1:]:
+            at = used[-1]
             at = next((k for k in range(at + 1, min(len(terms), at + gap + 2)) if terms[k] in want), -1)
             if at < 0:
                 break
+            used.append(at)
         else:
-            if not DENIALS & set(tokens[max(0, start - 2) : at + 1]):
+            if not any(tokens[k] in DENIALS for k in range(max(0, start - 2), used[-1] + 1) if k not in used):
                 return True
     return False
 
@@ -322,37 +375,35 @@ def _literal(tokens: list[str], terms: list[str], k: int, lex: Lexicon) -> bool:
 
 def judge(tokens: list[str], lex: Lexicon) -> tuple[float, str]:
     """Score and kind of one sentence."""
-    terms = [lex.term(t) for t in tokens]
+    terms = [lex.term(t) or t for t in tokens]
     kinds = [lex.kind.get(t, "") for t in terms]
-    best, kind = 0.0, ""
-    there = set(terms)
-    for name, phrases in PHRASES.items():
-        hits = [p for p in phrases if p[0] in there and p[-1] in there and _follows(terms, p)]
-        score = sum(0.5 if p in _WEAK else 1.0 for p in hits)
-        if score > best:
-            best, kind = score, name
-    for name, classes, told in _RULES:
-        if best < CASE and told & there and _ruled(tokens, terms, classes):
-            best, kind = CASE, name
-    if best < CASE and len(_DESIRE & there) > 2:
-        best, kind = CASE, "sexual"
+    sums: dict[str, float] = {}
+    for k in sorted({k for t in terms for k in lex.by_word.get(t, ())}):
+        rule = _RULES[k]
+        if _ruled(tokens, terms, rule.classes):
+            sums[rule.kind] = sums.get(rule.kind, 0.0) + rule.weight
+    insult = scolding = sums.get("insult", 0.0)
     for k, t in enumerate(kinds):
         if t != "slur":
             continue
         scorn = any(x == "scorn" for x in kinds[max(0, k - 3) : k]) or terms[k] in _ELSEWHERE and tokens[k - 1 : k] in (["sale"], ["gros"], ["grosse"], ["pauvre"])
         before, after = tokens[max(0, k - 6) : k], tokens[k + 1 : k + 3]
-        score = 0.4 + 0.3 * scorn
+        score = 0.4 + 0.3 * scorn + scolding
         if (_TOWARDS if terms[k] in _ELSEWHERE else _TARGET) & set(before) or after[:2] == ["you", "are"]:
             score += 0.7
         elif "is" in before[-4:] or "are" in before[-4:] or "like" in after[:1] and scorn:
             score += 0.4 + 0.3 * scorn
+        if "slur" in kinds[k + 1 : k + 7]:
+            score += 0.1
         if set(before[-3:]) & {"i", "me", "my", "myself"}:
             score -= 0.8
         if _reported(tokens, kinds, k) or _literal(tokens, terms, k, lex):
             score -= 0.8
-        if score > best:
-            best, kind = score, "insult"
-    return max(0.0, best), kind
+        insult = max(insult, score)
+    sums["insult"] = insult
+    by_score = sorted(((s, name) for name, s in sums.items()), reverse=True)
+    best, kind = by_score[0]
+    return round(max(0.0, best + sum(s for s, _ in by_score[1:]) / 2), 3), kind if best > 0 else ""
 
 
 def score_text(text: str | None, lex: Lexicon) -> tuple[float, str]:
@@ -367,12 +418,17 @@ def score_text(text: str | None, lex: Lexicon) -> tuple[float, str]:
     return found
 
 
+def _unspaced(letters: str, lex: Lexicon) -> str:
+    """Letters that stood apart as one word; an article before them is none of them."""
+    return f"{letters[0]} {letters[1:]}" if letters[0] in "ai" and lex.term(letters[1:]) and not lex.term(letters) else letters
+
+
 def _score(text: str, lex: Lexicon) -> tuple[float, str]:
     text = text.lower()
     for sign in _BREAKS:
         text = text.replace(sign, "")
     if _SPACED.search(text):
-        text = _SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+        text = _SPACED.sub(lambda m: _unspaced(m[0].replace(" ", ""), lex), text)
     if not any(map(lex.telling.__getitem__, text.split())):
         return 0.0, ""
     tokens = _TOKEN.findall(_DASHED.sub(lambda m: re.sub(r"[-._]", "", m[0]), consistent_form(text)))

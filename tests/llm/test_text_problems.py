@@ -273,12 +273,77 @@ def test_report_and_literal_words_lower_only_the_slur_beside_them(text, case):
     assert (abuse.score_text(text, abuse.lexicon())[0] >= abuse.CASE) == case
 
 
-def test_every_phrase_is_judged_where_it_stands_alone():
+#: Sentences that are in no test table, written before the rules were last changed.
+ABUSIVE = """
+Those immigrants are subhuman and must be exterminated.
+Blacks should be lynched.
+I'll shoot you dead, you coward.
+They had sex on the table.
+You are a worthless piece of trash.
+I will cut your throat in your sleep.
+We should hang all the Jews.
+He slid his hand up her naked thigh and she moaned.
+These people are vermin.
+Drop dead, you stinking rat!
+Somebody ought to burn down his house with his family in it.
+You deserve to be shot.
+The women are too stupid to vote and should be whipped.
+She took off her gown and stood nude, her breasts bare.
+Kill yourself, you pathetic loser.
+Gypsies are thieves and liars.
+He fucked her against the wall.
+You ugly whore, nobody wants you.
+I hope you burn in hell.
+Your wife is a slut.
+They entered her one after another while she moaned with pleasure.
+Let us drive the foreigners out with clubs.
+Shut up, you filthy pig.
+His lips moved down her naked body to her hips.
+You disgusting b1tch.
+You fukcing morron.
+Immigrants breed like rats.
+Je vais te tuer, salaud.
+Eres una puta asquerosa.
+The mayor is a filthy swine.
+"""
+HARMLESS = """
+He said the word bastard was printed twice.
+The cellar was full of rats and vermin.
+I was an idiot to believe it.
+The farmer sold a pig and two cows.
+The murderer was hanged at dawn.
+She wore a blue gown to the ball.
+They said I ought to be shot for it.
+The engine burned your fuel too fast.
+You should not kill the engine.
+He called the sailor a moron and was fined.
+The doctor examined her naked leg for the wound.
+Women should vote, and they ought to be heard.
+The natives are friendly people.
+You are a good friend.
+He broke his leg and lay in bed with a fever, sweating.
+Your story was stupid and the ending poor.
+They made love letters into a book.
+The dog was a bitch of good breed.
+Beat the eggs and break every one of them.
+I will break the record, you will see.
+The birds of the island breed like rabbits.
+I shall kill every weed in the garden.
+You will find the bodies in the cellar.
+The animals should be driven out of the barn.
+The colony was a nest of pirates.
+He pressed her hand and begged her to stay.
+She lay trembling in bed, her body weak with fever.
+The old harlot of Babylon is a phrase of the preacher.
+They are animals that live in the sea.
+The only good idea was the dead one.
+"""
+
+
+def test_sentences_of_no_table():
     lex = abuse.lexicon()
-    for phrases in abuse.PHRASES.values():
-        for p in phrases:
-            assert abuse.score_text(" ".join(p), lex)[0] >= abuse.judge(list(p), lex)[0] > 0
-    assert abuse.score_text("Your mother was worse.", lex)[0] >= abuse.CASE
+    found = lambda text: [x for x in text.strip().split("\n") if abuse.score_text(x, lex)[0] >= abuse.CASE]
+    assert len(found(ABUSIVE)) >= 27 and found(HARMLESS) == []
 
 
 @pytest.mark.parametrize(
@@ -305,5 +370,5 @@ def test_abuse_worded_otherwise(text, case):
 
 def test_automaton_and_trie():
     lex = abuse.lexicon()
-    for seen, term in {"idoit": "idiot", "id1ot": "idiot", "moronn": "moron", "imbecle": "imbecile", "vermm": "", "storm": "", "mouth": "mouth", "f***h": "filth"}.items():
+    for seen, term in {"idoit": "idiot", "id1ot": "idiot", "moronn": "moron", "imbecle": "imbecile", "storm": "", "mouth": "mouth", "f***h": "filth", "morrrron": "moron", "bastord": "bastard", "ditch": "", "where": "", "exterminafed": "exterminated"}.items():
         assert lex.term(seen) == term
