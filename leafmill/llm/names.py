@@ -150,57 +150,76 @@ class Persons:
 
     @staticmethod
     def _rest(seen: list[str], given: list[str]) -> float:
-        """Edits by which the parts beside the surname stand for the given names, 9 if they can't."""
-        if not given:
-            return 0 if not seen else 9
-        if not seen:
-            return 9
+        """Edits by which the parts beside the surname stand for the given names in their order, 9 if they can't."""
+        if not given or not seen:
+            return 0 if not given and not seen else 9
         if len(seen) == 1 and len(given) > 1 and 2 <= len(seen[0]) <= 3 and seen[0] == "".join(g[0] for g in given)[: len(seen[0])]:
             return 0.4
-        cost = _given(seen[0], given[0])
-        for s, g in zip(seen[1:], given[1:]):
-            cost += _given(s, g)
+        first = _given(seen[0], given[0])
+        if first >= 9:
+            return 9
         if len(seen) > len(given):
-            cost += 9 if len(given) > 1 or len(seen) - len(given) > 1 else 0.6
-        if len(given) > len(seen):
-            cost += 0.1
-        return cost
+            extra = 9 if len(given) > 1 or len(seen) - len(given) > 1 else 0.6
+            return first + sum(_given(s, g) for s, g in zip(seen[1:], given[1:])) + extra
+        row = [0.1 * (k > 0) for k in range(len(given))]  # given names left out cost little, however many
+        for n, s in enumerate(seen[1:], 1):
+            new = [9.0] * len(given)
+            for k in range(n, len(given)):
+                new[k] = min(row[k - 1] + _given(s, given[k]), new[k - 1] + 0.1 * (new[k - 1] < 9))
+            row = new
+        return first + min(row[-1], 9)
+
+    @classmethod
+    def _shuffled(cls, seen: list[str], given: list[str]) -> float:
+        """The same in any order: the least sum over all ways to match every part, 9 if some part is left."""
+        if len(seen) != len(given) or not seen:
+            return 9
+        best = {0: 0.0}  # given names used so far, as bits
+        for s in seen:
+            after: dict[int, float] = {}
+            for used, cost in best.items():
+                for k, g in enumerate(given):
+                    if not used >> k & 1:
+                        total = cost + _given(s, g)
+                        if total < min(2.3, after.get(used | 1 << k, 9)):
+                            after[used | 1 << k] = total
+            best = after
+        return min(best.values(), default=9)
 
     def find(self, text: str) -> list[tuple[int, float]]:
-        """Entries that one person's name may mean, with their cost."""
+        """Entries that one person's name may mean, with their cost.
+
+        A comma puts the surname's parts last. Every part is tried as the surname: the last or the first
+        with the others in any order, one from the middle only where all parts find their counterpart.
+        """
         t = re.sub(r"^\s*(?:written |story |told )?by\b[\s:.]*", "", plain(text)).strip(" .,;:()[]")
         head, comma, tail = t.partition(",")
-        first, last = _NAME_PART.findall(head), _NAME_PART.findall(tail)
         keep = lambda ps: [p for p in ps if p not in _TITLES or len(p) == 1]
-        orders = []
-        if comma and keep(last):
-            orders.append((keep(last), keep(first)))  # surname before the comma
-        else:
-            ps = keep(first)
-            if 2 <= len(ps) <= 4:
-                orders += [(ps[:-1], ps[-1:]), (ps[1:], ps[:1])]
+        first, last = keep(_NAME_PART.findall(head)), keep(_NAME_PART.findall(tail))
+        turned = bool(comma and last)
+        parts = last + first if turned else first
         best: dict[int, float] = {}
-        for given, surname in orders:
-            if len(surname) != 1 or len(surname[0]) < 2 or not given:
+        for at in reversed(range(len(parts))):
+            surname, given = parts[at], parts[:at] + parts[at + 1 :]
+            ends = at == len(parts) - 1 or (at == 0 and not turned)
+            if len(surname) < 2:
                 continue
-            for d, (entity, names, key) in self.trie.near(surname[0], 1 if len(surname[0]) >= 4 else 0):
-                rests = [given] if len(given) != 2 else [given, given[::-1]]
-                cost = d + min(self._rest(g, names) + (0.5 if k else 0) for k, g in enumerate(rests))
-                if cost < 2.3 and cost < best.get(entity, 9):
-                    best[entity] = cost
-        if not best:
-            return []
-        least = min(best.values())
+            for d, (entity, names, _) in self.trie.near(surname, 1 if len(surname) >= 4 else 0):
+                rest = self._rest(given, names) if ends else 9
+                if rest >= 0.5 and len(given) > 1:
+                    rest = min(rest, self._shuffled(given, names) + (0.5 if ends else 1.0))
+                if d + rest < min(2.3, best.get(entity, 9)):
+                    best[entity] = d + rest
+        least = min(best.values(), default=0)
         return [(e, c) for e, c in best.items() if c <= least]
 
-    def meant(self, text: str) -> list[tuple[int, float, bool]]:
-        """entity, cost, whether it is one of several names."""
+    def meant(self, text: str) -> list[tuple[int, float, int]]:
+        """entity, cost, which of the field's names it is."""
         if plain(text).strip(" .()[]") in _NOBODY:
             return []
         several = [p for p in _AND.split(consistent_form(text)) if p and p.strip()]
         several = several if len(several) > 1 else re.split(r"(?i)\s+(?:and|with|&)\s+", consistent_form(text))
-        out = [(e, c, len(several) > 1) for p in several for e, c in self.find(p)]
-        return out
+        return [(e, c, k) for k, p in enumerate(several) for e, c in self.find(p)]
 
 
 class Works:
@@ -212,16 +231,16 @@ class Works:
             if title_form(name):
                 self.trie.add(title_form(name), entity)
 
-    def meant(self, text: str) -> list[tuple[int, float, bool]]:
+    def meant(self, text: str) -> list[tuple[int, float, int]]:
         form = title_form(text)
         if len(form) < 3:
             return []
         near = self.trie.near(form, 0 if len(form) < 8 else 1 if len(form) < 14 else 2)
         least = min((d for d, _ in near), default=0)
-        return [(e, float(d), False) for d, e in near if d == least]
+        return [(e, float(d), 0) for d, e in near if d == least]
 
 
-LINKS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("spelling", T.StringType()), T.StructField("entity_id", T.LongType()), T.StructField("cost", T.DoubleType()), T.StructField("one_of_several", T.BooleanType())])
+LINKS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("spelling", T.StringType()), T.StructField("entity_id", T.LongType()), T.StructField("cost", T.DoubleType()), T.StructField("name_no", T.IntegerType())])
 
 
 def _walk(shard: list[tuple[int, str, str]]):
@@ -229,16 +248,17 @@ def _walk(shard: list[tuple[int, str, str]]):
         tries = {"author": Persons([(e, n) for e, k, n in shard if k == "author"]), "title": Works([(e, n) for e, k, n in shard if k == "title"])}
         for b in batches:
             rows = [(k, s, *m) for k, s in zip(b["kind"], b["spelling"]) if k in tries for m in tries[k].meant(s)]
-            yield pd.DataFrame(rows, columns=LINKS.names).astype({"entity_id": "int64", "cost": "float64", "one_of_several": "bool"})
+            yield pd.DataFrame(rows, columns=LINKS.names).astype({"entity_id": "int64", "cost": "float64", "name_no": "int32"})
 
     return walk
 
 
 def link(spellings: DataFrame, authority: DataFrame, shard: int = SHARD) -> DataFrame:
-    """kind, spelling, entity_id, cost, one_of_several for distinct spellings (kind, spelling).
+    """kind, spelling, entity_id, cost, name_no for distinct spellings (kind, spelling).
 
     The authority is read in shards of a bounded number of names; a shard is what is sent to the
-    workers, so nothing sent grows with the authority. Of several shards' entries the nearest remain.
+    workers, so nothing sent grows with the authority. Of each name in a field the nearest entries of
+    all shards remain, so the shards' size does not change the result.
     """
     rows = authority.where("name is not null").select("entity_id", "kind", "name").distinct()
     total = rows.count()
@@ -250,9 +270,9 @@ def link(spellings: DataFrame, authority: DataFrame, shard: int = SHARD) -> Data
         out = part if out is None else out.unionByName(part)
     if n > 1:
         out = cut(out)
-        least = out.groupBy("kind", "spelling").agg(F.min("cost").alias("_least"))
-        out = out.join(least, ["kind", "spelling"]).where("cost <= _least or one_of_several").drop("_least")
-    return out.select("kind", "spelling", "entity_id", "cost", "one_of_several")
+        least = out.groupBy("kind", "spelling", "name_no").agg(F.min("cost").alias("_least"))
+        out = out.join(least, ["kind", "spelling", "name_no"]).where("cost <= _least").drop("_least")
+    return out.select("kind", "spelling", "entity_id", "cost", "name_no")
 
 
 def fields(df: DataFrame, source: str, key: str) -> DataFrame:
@@ -263,10 +283,10 @@ def fields(df: DataFrame, source: str, key: str) -> DataFrame:
 
 
 def links_of_records(records: DataFrame, authority: DataFrame) -> DataFrame:
-    """source_table, record_key, field, entity_id, exact: every entry a record's field means."""
+    """source_table, record_key, field, entity_id, exact, name_no: every entry a record's field means."""
     spellings = records.select("kind", "spelling").distinct()
     tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = link(spellings.repartition(tasks, "kind", "spelling"), authority)  # few bytes, much work: not to be coalesced
     names = authority.select("entity_id", "name")
-    named = links.join(names, "entity_id").select("kind", "spelling", "entity_id", "one_of_several", (F.col("spelling") == F.col("name")).alias("exact")).distinct()
-    return records.join(named, ["kind", "spelling"]).select("source_table", "record_key", F.col("kind").alias("field"), "entity_id", "exact", "one_of_several").distinct()
+    named = links.join(names, "entity_id").select("kind", "spelling", "entity_id", "name_no", (F.col("spelling") == F.col("name")).alias("exact")).distinct()
+    return records.join(named, ["kind", "spelling"]).select("source_table", "record_key", F.col("kind").alias("field"), "entity_id", "exact", "name_no").distinct()

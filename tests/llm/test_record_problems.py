@@ -116,3 +116,23 @@ def test_names_in_any_order_of_parts():
     for order in itertools.permutations(["Robert", "Ellis", "Quinparidge"]):
         if order.index("Quinparidge") != 1:
             assert [e for e, _, _ in p.meant(" ".join(order))] == [1]
+
+
+def test_any_number_and_order_of_parts():
+    people = names.Persons([(1, "Ursula K. Le Guin"), (2, "Johannes van der Berg"), (3, "Arthur Conan Doyle"), (4, "Plato"), (5, "Maria de la Cruz Lopez Garcia")])
+    entity = lambda text: [e for e, _, _ in people.meant(text)]
+    for text in ("Le Guin, Ursula K.", "Ursula Le Guin", "Guin, Ursula"):
+        assert entity(text) == [1]
+    assert entity("van der Berg, Johannes") == [2] and entity("Plto") == [4] and entity("Plato and A. C. Doyle") == [4, 3]
+    for text in ("Conan Doyle, Arthur", "Doyle Conan Arthur", "Doyle, A. C."):
+        assert entity(text) == [3]
+    for text in ("Garcia, Maria de la Cruz Lopez", "Lopez Garcia Maria de la Cruz"):
+        assert entity(text) == [5]
+    assert entity("Conan") == [] and entity("") == []
+
+
+def test_shards_change_nothing(spark):
+    authority = spark.createDataFrame([(1, "author", "John Smith"), (2, "author", "Joan Smith"), (3, "author", "Ann Brown"), (4, "author", "Anne Brown")], "entity_id long, kind string, name string")
+    spellings = spark.createDataFrame([("author", "Smith, John"), ("author", "Jon Smith and Ann Brown"), ("author", "J. Smith")], "kind string, spelling string")
+    one = lambda n: sorted(names.link(spellings, authority, n).collect())
+    assert one(1) == one(2) == one(100) and len(one(1)) > 3
