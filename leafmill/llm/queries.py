@@ -18,7 +18,7 @@ REGISTRY = Registry()
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source_table"), F.col("doc_id").cast("string").alias("record_key"), F.col("text").alias("_t"))
     issues = table(spark, sf_dir, "pilot_issues").select(F.lit("pilot_issues").alias("source_table"), F.col("id").alias("record_key"), F.col("magazine").alias("_t"))
-    return docs.unionByName(issues).where(confusables.is_inconsistent(F.col("_t"))).select("source_table", "record_key").distinct()
+    return docs.unionByName(issues).where(confusables.is_inconsistent(F.col("_t"), confusables.unicode_table(spark))).select("source_table", "record_key").distinct()
 
 
 @REGISTRY.add("p1_skeleton_groups")

@@ -28,7 +28,8 @@ from leafmill.llm.queries import REGISTRY
 )
 def test_consistent_form(spark, text, want):
     assert confusables.consistent_form(text) == want
-    got = spark.createDataFrame([(text,)], "t string").select(confusables.consistent(F.col("t")).alias("c"), confusables.is_inconsistent(F.col("t")).alias("f")).first()
+    table = confusables.unicode_table(spark)
+    got = spark.createDataFrame([(text,)], "t string").select(confusables.consistent(F.col("t"), table).alias("c"), confusables.is_inconsistent(F.col("t"), table).alias("f")).first()
     assert got.c == want and got.f == (None if text is None else text != want)
 
 
@@ -39,6 +40,17 @@ def test_forms_are_stable(text):
     assert unicodedata.is_normalized("NFD", confusables.skeleton_form(text))
 
 
+def test_letters_of_any_alphabet(spark):
+    table = confusables.unicode_table(spark)
+    assert len(table.prototype) > 3000
+    for seen, want, stored in [("ѡord", "word", "word"), ("Ꭺpple", "Apple", "Apple"), ("ɑpple", "apple", "ɑpple"), ("ⅼatin", "latin", "latin"), ("Օne", "One", "One"), ("𝐛𝐨𝐥𝐝", "bold", "bold"), ("раура", "paypa", "раура"), ("ｆｕｌｌ", "full", "full")]:
+        assert confusables.skeleton_form(seen, table) == confusables.skeleton_form(want, table)
+        assert confusables.consistent_form(seen, table) == stored
+    df = spark.createDataFrame([(1, 'modern 10 "x"'), (2, "rnodern lO ''x''"), (3, "é modern 10")], "id int, t string")
+    keys = [r[0] for r in df.orderBy("id").select(confusables.skeleton(F.col("t"), table)).collect()]
+    assert keys[0] == keys[1] and keys[2].endswith(keys[0][:8])
+
+
 def test_equal_skeletons_fall_in_one_group(spark):
     df = spark.createDataFrame([(1, "Velvet"), (2, "Ｖｅｌｖｅｔ"), (3, "Vеlvet"), (4, "other"), (5, None)], "id long, t string")
     got = {r.row_key: (r.class_id, r.class_size) for r in confusables.skeleton_groups(df, "id", "t").collect()}
