@@ -286,7 +286,7 @@ def links_of_records(records: DataFrame, authority: DataFrame) -> DataFrame:
     """source_table, record_key, field, entity_id, exact, name_no: every entry a record's field means."""
     spellings = records.select("kind", "spelling").distinct()
     tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = link(spellings.repartition(tasks, "kind", "spelling"), authority)  # few bytes, much work: not to be coalesced
+    links = link(spellings.repartition(tasks, F.xxhash64("spelling", "kind")), authority)  # few bytes, much work: another key than that of distinct(), or the engine drops this and merges the tasks
     names = authority.select("entity_id", "name")
     named = links.join(names, "entity_id").select("kind", "spelling", "entity_id", "name_no", (F.col("spelling") == F.col("name")).alias("exact")).distinct()
     return records.join(named, ["kind", "spelling"]).select("source_table", "record_key", F.col("kind").alias("field"), "entity_id", "exact", "name_no").distinct()
