@@ -48,7 +48,7 @@ def test_letters_of_any_alphabet(spark):
         assert confusables.consistent_form(seen, table) == stored
     df = spark.createDataFrame([(1, 'modern 10 "x"'), (2, "rnodern lO ''x''"), (3, "é modern 10")], "id int, t string")
     keys = [r[0] for r in df.orderBy("id").select(confusables.skeleton(F.col("t"), table)).collect()]
-    assert keys[0] == keys[1] and keys[2].endswith(keys[0][:8])
+    assert keys[0] == keys[1] and keys[2].endswith(keys[0][:10])
 
 
 def test_equal_skeletons_fall_in_one_group(spark):
@@ -135,6 +135,18 @@ def test_cut_replies(spark):
     assert got == {(1, "alignment"), (2, "alignment"), (3, "limit"), (4, "limit"), (5, "limit")}
 
 
+def test_limits_are_heaps_at_the_top(spark):
+    rows = [("s", "heap", 1000)] * 4 + [("s", "heap", 900 + k) for k in range(0, 60, 3)] + [("s", "no", 512)] * 2 + [("s", "no", 400 + k) for k in range(90)] + [("s", "flat", 10 + k % 20) for k in range(200)]
+    assert [tuple(r) for r in truncation.limits(spark.createDataFrame(rows, "stage string, model string, tokens long")).collect()] == [("s", "heap", 1000)]
+
+
+def test_every_text_of_a_key_counts(spark):
+    page = _text(3, 120) + "."
+    pages = [("i", "rules_routeA", 1, page), ("i", "llm_x_routeA", 1, page), ("i", "llm_x_routeA", 1, page[: len(page) // 3])]
+    got = truncation.text_evidence(spark.createDataFrame(pages, "issue string, stage string, page int, text string")).collect()
+    assert {(r.stage, r.matched, r.early) for r in got} == {("rules_routeA", True, False), ("llm_x_routeA", True, True)}
+
+
 def test_replies_cut_early_after_a_sentence(spark):
     pages, meta = [], []
     for k in range(12):
