@@ -4,8 +4,10 @@ A text is reduced to a sequence of folded words: line-end hyphens joined, letter
 one another made equal, numbers dropped. Its five-word shingles are sent through one permutation into
 a ring of 2^20 places; a second permutation of that ring, shifted by one place for each coordinate,
 gives all signature coordinates (circulant MinHash): coordinate k of a set is the least value of the
-second permutation at the places of the set moved on by k. Three coordinates make a band; classes of
-equal folded text that share a band are candidates, and every candidate is verified on its words.
+second permutation at the places of the set moved on by k. A few coordinates make a band (``banding``
+takes their number from the size of the collection and the bands from the recall that is kept); classes
+of equal folded text that share two bands are candidates, and every candidate is verified on its words:
+TESTDATA.md asks for the share of words in common runs, and the exact Jaccard similarity stands beside it.
 
 Texts equal after folding are one class before anything is compared, so a text with any number of
 copies costs one signature. A text shorter than a shingle is one shingle of all its words. Null texts
@@ -14,6 +16,7 @@ and texts below ``least_chars`` are left out.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -24,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.operators.graph import components
 from leafmill.session import cut
 
 SHINGLE = 5
-BANDS, ROWS = 48, 3
+#: Coordinates of a band; one more for every GROWTH-fold of DOCUMENTS, as chance pairs grow with the square of the collection.
+ROWS, DOCUMENTS, GROWTH = 3, 200_000, 20
+#: The least similarity that is sought, and the share of such pairs that must share two bands.
+LEAST_SIMILAR, RECALL = 0.44, 0.92
 RING = 1 << 20
 #: Share of each text's words that must stand in passages the other has too.
 SHARED = 0.6
@@ -77,14 +84,26 @@ def shingles(codes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def banding(documents: int) -> tuple[int, int]:
+    """Bands and rows for a collection: rows by its size, and as many bands as keep RECALL at LEAST_SIMILAR whatever the rows."""
+    rows = ROWS
+    while documents > DOCUMENTS * GROWTH ** (rows - ROWS):
+        rows += 1
+    equal, bands = LEAST_SIMILAR**rows, 2
+    while (1 - equal) ** bands + bands * equal * (1 - equal) ** (bands - 1) > 1 - RECALL:
+        bands += 1
+    return bands, rows
+
+
 class Circulant:
     """Two permutations of the ring: a hash takes shingles to places, ``order`` is the one that is shifted."""
 
-    def __init__(self, seed: int = 7) -> None:
+    def __init__(self, bands: int, rows: int, seed: int = 7) -> None:
         order = np.random.default_rng(seed).permutation(RING).astype(np.uint32)
-        k = BANDS * ROWS
+        k = bands * rows
+        self.n_bands, self.n_rows = bands, rows
         self.windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[:k]]), k)
-        self.mix = np.random.default_rng(seed + 1).integers(1, 1 << 62, BANDS, np.int64).astype(np.uint64) | np.uint64(1)
+        self.mix = np.random.default_rng(seed + 1).integers(1, 1 << 62, bands, np.int64).astype(np.uint64) | np.uint64(1)
 
     def signature(self, runs: np.ndarray) -> np.ndarray:
         at = ((runs * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64)
@@ -94,40 +113,38 @@ class Circulant:
         return least
 
     def bands(self, runs: np.ndarray) -> np.ndarray:
-        rows = self.signature(runs).reshape(BANDS, ROWS).astype(np.uint64)
+        rows = self.signature(runs).reshape(self.n_bands, self.n_rows).astype(np.uint64)
         key = self.mix.copy()
-        for k in range(ROWS):
+        for k in range(self.n_rows):
             key = (key ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(31)
         return key.view(np.int64)
 
 
-_circulant: Circulant | None = None
-
-
-def circulant() -> Circulant:
-    global _circulant
-    if _circulant is None:
-        _circulant = Circulant()
-    return _circulant
+@functools.cache
+def circulant(bands: int, rows: int) -> Circulant:
+    return Circulant(bands, rows)
 
 
 SIGNED = T.StructType([T.StructField("doc", T.LongType()), T.StructField("class_key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    c = circulant()
-    for b in batches:
-        codes = [folded_words(t) for t in b["_text"]]
-        keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes() if len(x) else t.encode()) for x, t in zip(codes, b["_text"])], np.uint64)
-        runs = [shingles(x) if len(x) else keys[k : k + 1] for k, x in enumerate(codes)]  # a text without words is like its equals only
-        yield pd.DataFrame({"doc": b["doc"], "class_key": keys.view(np.int64), "bands": [c.bands(r) for r in runs]})
+def _sign(bands: int, rows: int):
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = circulant(bands, rows)
+        for b in batches:
+            codes = [folded_words(t) for t in b["_text"]]
+            keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes() if len(x) else t.encode()) for x, t in zip(codes, b["_text"])], np.uint64)
+            runs = [shingles(x) if len(x) else keys[k : k + 1] for k, x in enumerate(codes)]  # a text without words is like its equals only
+            yield pd.DataFrame({"doc": b["doc"], "class_key": keys.view(np.int64), "bands": [c.bands(r) for r in runs]})
+
+    return sign
 
 
 def signed(df: DataFrame, key: str, text: str, least_chars: int) -> DataFrame:
     """doc, class_key, bands of every text of at least ``least_chars`` characters, cut from its lineage."""
     rows = df.where(F.length(text) >= max(1, least_chars)).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
-    return cut(rows.mapInPandas(_sign, SIGNED))
+    return cut(rows.mapInPandas(_sign(*banding(df.count())), SIGNED))
 
 
 def coverage(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> float:
@@ -143,17 +160,29 @@ def coverage(a: np.ndarray, b: np.ndarray, size: int = SHINGLE) -> float:
     return float((np.cumsum(edges[:-1]) > 0).mean())
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Exact similarity of the two texts' sets of shingles."""
+    x, y = np.unique(shingles(a)), np.unique(shingles(b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+PAIRS = "class_a long, class_b long, coverage double, jaccard double"
+
+
 def _verify(share: float):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             known: dict[str, np.ndarray] = {}
-            keep = []
-            for x, y in zip(b["text_a"], b["text_b"]):
+            rows = []
+            for p, q, x, y in zip(b["class_a"], b["class_b"], b["text_a"], b["text_b"]):
                 for t in (x, y):
                     if t not in known:
                         known[t] = folded_words(t)
-                keep.append(coverage(known[x], known[y]) >= share and coverage(known[y], known[x]) >= share)
-            yield b.loc[keep, ["class_a", "class_b"]]
+                least = min(coverage(known[x], known[y]), coverage(known[y], known[x]))
+                if least >= share:
+                    rows.append((p, q, least, jaccard(known[x], known[y])))
+            yield pd.DataFrame(rows, columns=["class_a", "class_b", "coverage", "jaccard"]).astype({"class_a": "int64", "class_b": "int64", "coverage": "float64", "jaccard": "float64"})
 
     return verify
 
@@ -161,8 +190,8 @@ def _verify(share: float):
 def candidates(sign: DataFrame) -> DataFrame:
     """class_a < class_b: the pairs of classes that share at least two bands.
 
-    Texts of one collection share stock phrases, so a single common band is mostly chance; a pair with a
-    Jaccard similarity of 0.57 shares two of the 48 bands in 99.8 % of cases, one of 0.7 always.
+    Texts of one collection share stock phrases, so a single common band is mostly chance; of 48 bands of
+    three a pair with a Jaccard similarity of 0.57 shares two in 99.8 % of cases, one of 0.7 always.
     The rows of one band are joined to one another by key. Copies are already one class, so a band's
     group holds different texts only; the engine splits a group that is still large over several tasks.
     """
@@ -173,13 +202,31 @@ def candidates(sign: DataFrame) -> DataFrame:
 
 
 def class_pairs(df: DataFrame, key: str, text: str, sign: DataFrame, share: float = SHARED) -> DataFrame:
-    """class_a < class_b: the verified pairs of different classes, cut from their lineage."""
+    """class_a < class_b, coverage (the lesser), jaccard: the verified pairs of different classes, cut from their lineage."""
     pairs = cut(candidates(sign))
     first = sign.groupBy("class_key").agg(F.min("doc").alias("doc"))
     wanted = pairs.select(F.col("class_a").alias("class_key")).union(pairs.select(F.col("class_b").alias("class_key"))).distinct()
     texts = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")).join(first.join(wanted, "class_key", "left_semi"), "doc").select("class_key", "_text")
     both = pairs.join(texts.select(F.col("class_key").alias("class_a"), F.col("_text").alias("text_a")), "class_a").join(texts.select(F.col("class_key").alias("class_b"), F.col("_text").alias("text_b")), "class_b")
-    return cut(both.mapInPandas(_verify(share), "class_a long, class_b long"))
+    return cut(both.mapInPandas(_verify(share), PAIRS))
+
+
+def near_duplicate_links(df: DataFrame, key: str, text: str, title: str, least_chars: int = 1, share: float = SHARED) -> DataFrame:
+    """doc_id_a < doc_id_b, coverage, jaccard, same_title of every pair of different classes, by their least doc_ids.
+
+    ``coverage`` is the lesser share of a text's words in runs the other has too, ``jaccard`` the exact
+    similarity of the shingle sets; copies of one class have 1.0 with one another and no row here.
+    Titles are compared folded; a null title is the same as none.
+    """
+    sign = signed(df, key, text, least_chars)
+    links = class_pairs(df, key, text, sign, share)
+    first = sign.groupBy("class_key").agg(F.min("doc").alias("doc"))
+    folded = F.trim(F.regexp_replace(F.lower(F.col(title)), r"[^\p{L}\p{N}]+", " "))
+    named = first.join(df.select(F.col(key).cast("long").alias("doc"), folded.alias("title")).groupBy("doc").agg(F.max("title").alias("title")), "doc")
+    side = lambda x: named.select(F.col("class_key").alias(f"class_{x}"), F.col("doc").alias(f"_doc_{x}"), F.col("title").alias(f"_title_{x}"))
+    rows = links.join(side("a"), "class_a").join(side("b"), "class_b")
+    same = F.coalesce(F.col("_title_a") == F.col("_title_b"), F.lit(False))
+    return rows.select(F.least("_doc_a", "_doc_b").alias("doc_id_a"), F.greatest("_doc_a", "_doc_b").alias("doc_id_b"), F.round("coverage", 6).alias("coverage"), F.round("jaccard", 6).alias("jaccard"), same.alias("same_title")).where("doc_id_a < doc_id_b")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, least_chars: int = 300, share: float = SHARED) -> DataFrame:
@@ -197,25 +244,6 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, least_chars: int =
     return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, component (its least node) by repeated least labels with pointer jumping.
-
-    Every round is written to the shared folder; the driver sees one count a round. Links are those of
-    different classes only, so a group of copies adds none.
-    """
-    edges = cut(links.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).union(links.select(F.col("class_b"), F.col("class_a"))))
-    touched = edges.select(F.col("u").alias("node")).distinct()
-    label = cut(touched.withColumn("component", F.col("node")))
-    while True:
-        around = edges.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("_near"))
-        least = label.join(around, "node").select("node", F.col("component").alias("_old"), F.least("component", "_near").alias("_mid"))
-        jump = least.join(label.select(F.col("node").alias("_mid"), F.col("component").alias("_far")), "_mid", "left").select("node", "_old", F.least("_mid", F.coalesce("_far", "_mid")).alias("component"))
-        step = cut(jump)
-        label = step.select("node", "component")
-        if step.where("component <> _old").isEmpty():
-            return nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
 def near_duplicate_groups(df: DataFrame, key: str, text: str, least_chars: int = 1, share: float = SHARED) -> DataFrame:
     """One row per document: doc_id, group_id (least doc_id of its group), n_links (classes linked to its own), n_copies.
 
@@ -225,7 +253,8 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, least_chars: int =
     links = class_pairs(df, key, text, sign, share)
     degree = links.select(F.col("class_a").alias("class_key")).union(links.select(F.col("class_b").alias("class_key"))).groupBy("class_key").agg(F.count("*").alias("n_links"))
     classes = sign.groupBy("class_key").agg(F.count_distinct("doc").alias("n_copies"), F.min("doc").alias("_least"))
-    labelled = classes.join(components(classes.select(F.col("class_key").alias("node")), links).withColumnRenamed("node", "class_key"), "class_key")
+    label = components(links.select(F.col("class_a").alias("u"), F.col("class_b").alias("v"))).withColumnRenamed("node", "class_key")
+    labelled = classes.join(label, "class_key", "left").withColumn("component", F.coalesce("component", "class_key"))
     group = labelled.groupBy("component").agg(F.min("_least").alias("group_id"))
     per_class = labelled.join(group, "component").join(degree, "class_key", "left").select("class_key", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     placed = sign.groupBy("doc").agg(F.min("class_key").alias("class_key")).join(per_class, "class_key")

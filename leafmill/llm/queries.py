@@ -44,6 +44,12 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@REGISTRY.add("p2_links")
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of different texts, by the first document of each, with both measures; p2_groups has the members."""
+    return neardup.near_duplicate_links(table(spark, sf_dir, "documents"), "doc_id", "text", "title")
+
+
 # ---- problem 6 ----
 @REGISTRY.add("p6_found", S.P6_FOUND)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

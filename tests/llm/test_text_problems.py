@@ -81,6 +81,21 @@ def test_near_copies_like_brute_force(spark):
     assert groups[103] == (3, 2) and groups[100][0] == 0 and groups[104][0] == 104
 
 
+def test_bands_keep_their_recall_at_any_size():
+    assert neardup.banding(10) == neardup.banding(200_000) == (48, 3)
+    for n, rows in [(300_000, 4), (5_000_000, 5), (10**9, 6)]:
+        b, r = neardup.banding(n)
+        equal = neardup.LEAST_SIMILAR**r
+        assert r == rows and 1 - (1 - equal) ** b - b * equal * (1 - equal) ** (b - 1) >= neardup.RECALL
+
+
+def test_links_have_both_measures(spark):
+    words = _text(11, 200).split()
+    df = spark.createDataFrame([(1, "A b", " ".join(words)), (2, "a, B!", " ".join(words[:150])), (3, None, " ".join(words)), (4, None, _text(12))], "doc_id long, title string, text string")
+    (r,) = neardup.near_duplicate_links(df, "doc_id", "text", "title").collect()
+    assert (r.doc_id_a, r.doc_id_b, r.same_title) == (1, 2, True) and r.coverage == 0.75 and r.jaccard == round(146 / 196, 6)
+
+
 def test_chains_of_copies_are_one_group(spark):
     words = _text(7, 300).split()
     rows = [(k, " ".join(words[20 * k : 20 * k + 100])) for k in range(8)]
@@ -93,7 +108,7 @@ def test_circulant_signatures_estimate_jaccard():
     r = np.random.default_rng(3)
     a = r.integers(0, 1 << 62, 400, np.int64).astype(np.uint64)
     b = np.concatenate([a[:300], r.integers(0, 1 << 62, 100, np.int64).astype(np.uint64)])
-    c = neardup.circulant()
+    c = neardup.circulant(48, 3)
     assert abs((c.signature(a) == c.signature(b)).mean() - 0.6) < 0.12
 
 
