@@ -179,6 +179,29 @@ def test_replies_cut_early_after_a_sentence(spark):
 FORMS = [(w, n, 0.7) for w, n in {"returned": 900, "the": 9000, "silver": 300, "morning": 400, "clock": 200, "deck": 200, "sun-bleached": 300, "furious": 250, "eclipse": 200, "carpet": 300, "fell": 40, "tell": 1000}.items()]
 
 
+def test_heads_by_masked_digits(spark):
+    rows = [("documents", str(k), "Some Story", f"The Weekly Bulletin  {k + 40}\nhe went home\nand slept 12\nCHAPTER {k}\nOnce In A Row 7") for k in range(4)]
+    rows += [("documents", "9", None, "61 THE WEEKLY BULLET|N"), ("documents", "10", None, ""), ("documents", "11", None, None)]
+    df = spark.createDataFrame(rows + rows[:1], "source_table string, record_key string, title string, text string")
+    assert {(r.record_key, r.line_no) for r in scans.masked_heads(df, ["record_key"]).collect()} == {("0", 1), ("1", 1), ("2", 1), ("3", 1), ("9", 1)}
+    found = scans.find_defects(df, scans.Heads([]), scans.Forms([], 5)).collect()
+    assert {(r.record_key, r.line_no) for r in found if r.defect == "running_head"} >= {(str(k), 1) for k in range(4)}
+
+
+def test_rare_forms_stay_known_in_a_larger_collection(spark):
+    text = lambda n: "wintergate " * 5 + "morning " * (300 * n)
+    for n in (1, 10):
+        forms = scans.forms_of(spark.createDataFrame([(text(n),)], "text string"))
+        assert forms.n == {"wintergate": 5, "morning": 300 * n} and forms.least == 5
+    few = scans.forms_of(spark.createDataFrame([(text(1) + "evening " * 40,)], "text string"), most=2)
+    assert set(few.n) == {"morning", "evening"}
+
+
+def test_words_with_many_masks():
+    forms = scans.Forms([("illlilillil", 50, 0.9), ("morning", 900, 0.9)], 5)
+    assert forms.truth("1l1l1l1ll1l") == "illlilillil"
+
+
 def test_misreadings_but_not_slips():
     f = scans.Forms(FORMS, 5)
     for seen, true in {"retumed": "returned", "si|ver": "silver", "mornmg": "morning", "m0rning": "morning", "edipse": "eclipse", "furioiis": "furious", "fhe": "the"}.items():
