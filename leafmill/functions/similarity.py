@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,21 +21,61 @@ def _trimmed(a: list, b: list) -> tuple[list, list]:
     return (a[: len(a) - k], b[: len(b) - k])
 
 
+def _places(a: list) -> dict:
+    """Each element's places in ``a`` as the bits of one number."""
+    at: dict = {}
+    for k, c in enumerate(a):
+        at.setdefault(c, []).append(k)
+    out = {}
+    for c, ks in at.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for k in ks:
+            bits[k >> 3] |= 1 << (k & 7)
+        out[c] = int.from_bytes(bits, "little")
+    return out
+
+
 def edit_distance(a: list, b: list, substitute: int = 1) -> int:
-    """Edits that make b of a; with ``substitute`` 2 only insertions and deletions count."""
+    """Edits that make b of a; with ``substitute`` 2 only insertions and deletions count.
+
+    Bit-parallel: a column of the table is two numbers of len(a) bits, so texts of a whole issue take
+    seconds, in memory that grows with their length alone.
+    """
     a, b = _trimmed(list(a), list(b))
-    if not a or not b:
-        return len(a) + len(b)
-    codes: dict = {}
-    x = np.array([codes.setdefault(c, len(codes)) for c in a])
-    y = np.array([codes.setdefault(c, len(codes)) for c in b])
-    at = np.arange(len(y) + 1)
-    row = at.copy()
-    for i, c in enumerate(x, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + substitute * (y != c))
-        new = np.concatenate([[i], new])
-        row = np.minimum.accumulate(new - at) + at  # insertions, carried along the row
-    return int(row[-1])
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b)
+    at, full, top = _places(a), (1 << len(a)) - 1, 1 << (len(a) - 1)
+    if substitute > 1:  # the longest common subsequence, one bit a step along it
+        row = full
+        for c in b:
+            met = row & at.get(c, 0)
+            row = ((row + met) | (row - met)) & full
+        return len(a) + len(b) - 2 * (len(a) - row.bit_count())
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        eq = at.get(c, 0)
+        straight = (((eq & up) + up) ^ up) | eq | down
+        higher = down | (full & ~(straight | up))
+        lower = up & straight
+        distance += bool(higher & top) - bool(lower & top)
+        higher = (higher << 1 | 1) & full
+        up = (lower << 1 & full) | (full & ~(straight | higher))
+        down = higher & straight
+    return distance
+
+
+#: Characters up to which the fallback distance is made.
+FALLBACK_MOST = 120_000
+
+
+def block_distance(a: list, b: list) -> int | None:
+    """Edits by matching blocks, an upper bound of the exact distance: a replaced block counts its longer side. None beyond FALLBACK_MOST."""
+    if max(len(a), len(b)) > FALLBACK_MOST:
+        return None
+    blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    return sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in blocks if tag != "equal")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -85,12 +124,16 @@ def word_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([diff(a, b) for a, b in zip(old, new)])
 
 
-def best_window(probe: str, hay: str, least: float, step: int = 8) -> tuple[int, int] | None:
+def best_window(probe: str, hay: str, least: float) -> tuple[int, int] | None:
     """Start and end of the part of ``hay`` most like ``probe``, if its similarity reaches ``least``.
 
-    Runs of ``step`` characters of the probe are looked up in an index of hay; the most voted offset is
-    compared exactly. A probe without one undamaged run is not found.
+    Runs of characters of the probe are looked up in an index of hay; the most voted offset is compared
+    exactly. Shorter runs are tried where longer ones show nothing, down to pairs.
     """
+    return next((found for step in (8, 4, 2) if (found := _voted(probe, hay, least, step))), None)
+
+
+def _voted(probe: str, hay: str, least: float, step: int) -> tuple[int, int] | None:
     where: dict[str, list[int]] = {}
     wanted = {probe[i : i + step] for i in range(len(probe) - step + 1)}
     for i in range(len(hay) - step + 1):

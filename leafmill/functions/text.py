@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: ligatures and invisible signs of printed text, and what stands for them ---
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "­": "", "\x0c": ""}
@@ -51,13 +55,35 @@ def looks_like_word(x: Column) -> Column:
     return w.rlike("^[a-z]{2,20}$") & w.rlike("[aeiouy]")
 
 
-def html_to_text(html: Column) -> Column:
-    """Breaks and paragraph ends as newlines, tags removed, then common entities resolved. Null is ''."""
-    x = F.regexp_replace(F.coalesce(html, F.lit("")), r"<br\s*/?>|</p>", "\n")
+def html_to_text(markup: Column) -> Column:
+    """Breaks and paragraph ends as newlines, tags removed, then all entities resolved. Null is ''.
+
+    Only text that still holds an ampersand leaves the JVM.
+    """
+    x = F.regexp_replace(F.coalesce(markup, F.lit("")), r"<br\s*/?>|</p>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", "")
-    for a, b in ENTITIES.items():
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return strip(x)
+    return strip(F.coalesce(unescaped(F.when(x.contains("&"), x)), x))
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Named and numbered entities as their characters; null for null."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def url_encoded(text: Column) -> Column:
+    """Percent-encoded as the path of an address: a space is %20, a slash stays."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+
+
+def base64_of(data: Column) -> Column:
+    """Bytes, or text as UTF-8, in base 64."""
+    return F.base64(data.cast("binary"))
+
+
+def numbered_id(prefix: Column, letter: str, number: Column) -> Column:
+    """prefix_a007: numbers of more than three digits stay whole."""
+    return F.concat(prefix, F.lit(f"_{letter}"), F.format_string("%03d", number))
 
 
 def norm_scoring(text: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators.heads import lines_of
+from leafmill.operators.ranks import running_totals_by
+from leafmill.operators.rules import article_texts
 
 # --- fixed values: labels that are no reading text, and types of works ---
 DROPPED_LABELS = ["picture", "figure", "image", "table", "pageheader", "pagefooter", "caption", "footnote", "handwriting", "equation", "form"]
@@ -83,6 +85,26 @@ def work_records(regions: DataFrame, units: DataFrame, works: DataFrame) -> Data
     )
 
 
+def article_records(regions: DataFrame, units: DataFrame, works: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """issue, article_id, art_type, title, author, pages, text of every stitched work.
+
+    Works are numbered by their first fragment; pages hand on one count each, so no issue is gathered. The
+    text is that of the regions in order, cleaned as an article's. Title and author are the opener's.
+    """
+    records = work_records(regions, units, works)
+    rows = units.where("kind <> 'furniture'").join(works.drop("kind"), ["issue", "page", "unit_no"])
+    first = rows.groupBy("issue", "work_no").agg(F.min(F.struct("page", "unit_no")).alias("_at")).select("issue", "work_no", F.col("_at.page").alias("_page"), F.col("_at.unit_no").alias("_unit"))
+    per_page = first.groupBy("issue", "_page").agg(F.count("*").alias("_n"))
+    before = running_totals_by(per_page, ["issue"], "_page", {"_before": F.col("_n")}, 1000).select("issue", "_page", "_before")
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("issue", "_page").orderBy("_unit"))
+    first = first.join(before, ["issue", "_page"]).select("issue", "work_no", X.numbered_id(F.col("issue"), "a", number.cast("int")).alias("article_id"))
+    texts = regions.where("text is not null").select("issue", "page", "region_order", "text").distinct()
+    parts = F.array_sort(F.collect_list(F.struct("page", "unit_no", "region_order", "text")))
+    raw = rows.join(texts, ["issue", "page", "region_order"]).groupBy("issue", "work_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("raw"))
+    cleaned = article_texts(raw, ["issue", "work_no"], "raw", words)
+    return records.join(first, ["issue", "work_no"]).join(cleaned, ["issue", "work_no"]).select("issue", "article_id", "art_type", "title", "author", "pages", "text")
+
+
 def claims(articles: DataFrame) -> DataFrame:
     """article_id, issue, page, region_order, at (fragment, region): every region an article claims, in its order."""
     rows = articles.select("article_id", "issue", F.posexplode("fragments").alias("_f", "fragment"))
@@ -114,12 +136,14 @@ def article_index(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", "issue", known.alias("art_type"), "title", "author", F.array_min(pages).alias("first_page"), F.array_max(pages).alias("last_page"), F.size(pages).alias("n_pages"), F.size(X.words_of(F.coalesce("text", F.lit("")))).alias("words"))
 
 
-def search(articles: DataFrame, text: str = "", art_type: str = "") -> DataFrame:
-    """Articles whose title or author holds ``text``, whatever its case, of the given type; '' means any."""
+def search(articles: DataFrame, text: str = "", art_type: str = "", status: str = "") -> DataFrame:
+    """Articles whose title or author holds ``text``, whatever its case, of the given type and status; '' means any."""
     q = text.strip().lower()
     rows = articles
     if q:
         rows = rows.where(F.coalesce(F.lower("title").contains(q), F.lit(False)) | F.coalesce(F.lower("author").contains(q), F.lit(False)))
+    if status:
+        rows = rows.where(F.col("status") == status)
     return rows.where(F.coalesce("art_type", F.lit("other")) == art_type) if art_type else rows
 
 

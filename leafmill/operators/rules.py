@@ -34,7 +34,7 @@ def marked_lines(lines: DataFrame, running: DataFrame | None = None) -> DataFram
     noise = (X.garbage_score(F.col("line")) > 0.5) & (F.length(s) > 2)
     edge = (F.col("line_no") <= 2) | (F.col("line_no") >= F.col("n_lines") - 1)
     known = running.select("issue", F.col("head").alias("_head")).withColumn("_known", F.lit(True))
-    rows = rows.withColumn("_head", heads.head_key(F.col("line"))).join(known, ["issue", "_head"], "left")
+    rows = rows.withColumn("_head", F.when(s != "", heads.head_key(F.col("line")))).join(known, ["issue", "_head"], "left")
     rule = F.when(s == "", None).when(noise, "R2").when(edge & (F.col("_known").isNotNull() | X.is_folio(F.col("line"))), "R3")
     return rows.select(*KEYS, "line_no", "n_lines", "raw", "line", rule.alias("rule"))
 

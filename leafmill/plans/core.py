@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import similarity as M
@@ -10,7 +10,7 @@ from leafmill.functions import text as X
 from leafmill.operators import assembly, heads, replay, reports, rules
 from leafmill.plans.replay_sql import CLEAN_SQL, REPLAY_SQL
 from leafmill.registry import Registry
-from leafmill.session import table
+from leafmill.session import cut, table
 from leafmill.sources import files
 from leafmill.streaming import logs
 
@@ -118,7 +118,32 @@ def drop_heads_folios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.marked_lines(page_lines(spark, sf_dir)).where("rule = 'R3'").select("issue", "page", "line_no", F.col("line").alias("removed"))
 
 
-@REGISTRY.add("dehyphenate")
+#: Rule R4 as a walk: the lines that are not blank of an issue one after another over its pages, ``now`` being what the line before has left.
+WALK_SQL = NORM_LINES_SQL + f""",
+printed AS (SELECT issue, page, line_no, regexp_replace(regexp_replace(lower({STRIP.format('line')}), '\\d+', '#', 'g'), '\\s+', ' ', 'g') AS head FROM page_lines WHERE regexp_replace(line, '\\s+', '', 'g') <> ''),
+edges AS (SELECT *, row_number() OVER (PARTITION BY issue, page ORDER BY line_no) AS t, row_number() OVER (PARTITION BY issue, page ORDER BY line_no DESC) AS b FROM printed),
+hits AS (SELECT issue, head FROM edges WHERE t <= 2 UNION ALL SELECT issue, head FROM edges WHERE b <= 2),
+n_pages AS (SELECT issue, count(DISTINCT page) AS pages FROM page_lines GROUP BY issue),
+heads AS (SELECT issue, head FROM hits JOIN n_pages USING (issue) WHERE length(head) < 80 GROUP BY issue, head, pages HAVING count(*) >= greatest(3, pages // 4)),
+ruled AS (SELECT g.*, CASE WHEN n = 0 THEN NULL WHEN score > 0.5 AND n > 2 THEN 'R2' WHEN (line_no <= 2 OR line_no >= n_lines - 1) AND (h.head IS NOT NULL OR regexp_full_match(s, '\\d{{1,4}}')) THEN 'R3' END AS rule
+  FROM graded g LEFT JOIN heads h ON h.issue = g.issue AND h.head = regexp_replace(regexp_replace(lower(s), '\\d+', '#', 'g'), '\\s+', ' ', 'g')),
+kept AS (SELECT issue, page, line_no, line, s FROM ruled WHERE rule IS NULL),
+flow AS (SELECT issue, page, line_no, line, row_number() OVER (PARTITION BY issue ORDER BY page, line_no) AS k FROM kept WHERE s <> ''),
+walk AS (
+  SELECT issue, page, line_no, k, line AS now, CAST(NULL AS INTEGER) AS from_page, CAST(NULL AS BIGINT) AS from_line, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS VARCHAR) AS joined FROM flow WHERE k = 1
+  UNION ALL
+  SELECT issue, next_page, next_line, k + 1, CASE WHEN joins THEN ltrim(substr(after, length(taken) + 1)) ELSE line END, page, line_no, CASE WHEN joins THEN substr(now, 1, length(now) - 1) || taken ELSE now END,
+    CASE WHEN joins THEN lft || '- + ' || regexp_extract(after, '^[A-Za-z]+') || ' -> ' || lft || taken END
+  FROM (
+    SELECT *, regexp_extract(after, '^[A-Za-z]+[^\\sA-Za-z]*') AS taken, coalesce(lft <> '' AND regexp_matches(after, '^[A-Za-z]') AND regexp_full_match(lower(lft || regexp_extract(after, '^[A-Za-z]+')), '[a-z]{{2,20}}') AND regexp_matches(lower(lft || regexp_extract(after, '^[A-Za-z]+')), '[aeiouy]'), false) AS joins
+    FROM (SELECT w.*, x.line, x.page AS next_page, x.line_no AS next_line, ltrim(x.line) AS after, regexp_extract(now, '([A-Za-z]{{2,}})-$', 1) AS lft FROM walk w LEFT JOIN flow x ON x.issue = w.issue AND x.k = w.k + 1 WHERE w.page IS NOT NULL)
+  )
+),
+joins AS (SELECT issue, from_page AS page, from_line AS line_no, done AS line, joined FROM walk WHERE k > 1)
+"""
+
+
+@REGISTRY.add("dehyphenate", f"WITH RECURSIVE {WALK_SQL} SELECT issue, page, line_no, joined FROM joins WHERE joined IS NOT NULL")
 def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = rules.marked_lines(page_lines(spark, sf_dir))
     return rules.dehyphenated(marked.where("rule is null").select("issue", "page", "line_no", "line")).where("joined is not null").select("issue", "page", "line_no", "joined")
@@ -138,12 +163,27 @@ def para_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.paragraphs(heads.lines_of(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
-@REGISTRY.add("rules_full")
+@REGISTRY.add("rules_full", f"""
+WITH RECURSIVE {WALK_SQL},
+l AS (SELECT issue, page, line_no, line FROM joins UNION ALL SELECT issue, page, line_no, '' FROM kept WHERE s = ''),
+t AS (SELECT *, {STRIP.format('line')} AS s FROM l),
+v AS (SELECT *, lag(s) OVER (PARTITION BY issue, page ORDER BY line_no) AS prev FROM t),
+o AS (SELECT *, CASE WHEN s <> '' AND (coalesce(prev, '') = '' OR regexp_matches(line, '^\\s{{2,}}') OR (starts_with(s, '"') AND coalesce(regexp_matches(prev, '[.!?]$'), false))) THEN 1 ELSE 0 END AS opens FROM v),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY issue, page ORDER BY line_no) AS para FROM o),
+p AS (SELECT issue, page, para, string_agg(s, ' ' ORDER BY line_no) AS t FROM g WHERE s <> '' GROUP BY ALL),
+d AS (SELECT DISTINCT issue, page FROM page_lines)
+SELECT d.issue, d.page, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY para), '') AS text FROM d LEFT JOIN p ON p.issue = d.issue AND p.page = d.page GROUP BY ALL
+""")
 def rules_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cleaned_pages(page_lines(spark, sf_dir))
 
 
-@REGISTRY.add("change_log_full")
+@REGISTRY.add("change_log_full", f"""
+WITH RECURSIVE {WALK_SQL}
+SELECT issue, page, line_no, 'R1' AS rule, raw AS "before", line AS "after", NULL AS removed, NULL AS joined FROM norm WHERE raw <> line
+UNION ALL SELECT issue, page, line_no, rule, NULL, NULL, line, NULL FROM ruled WHERE rule IS NOT NULL
+UNION ALL SELECT issue, page, line_no, 'R4', NULL, NULL, NULL, joined FROM joins WHERE joined IS NOT NULL
+""")
 def change_log_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.change_log(page_lines(spark, sf_dir))
 
@@ -155,34 +195,47 @@ def change_log_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- markup, labels, sources ----
 @REGISTRY.add("html_to_text", r"""
-WITH t AS (SELECT doc_id, '<p class="x">' || replace(replace(text, '&', '&amp;'), chr(10), '<br/>') || '</p><i>&mdash;</i>' AS html FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, regexp_replace(replace(replace(regexp_replace(regexp_replace(html, '<br\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&mdash;', '—'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS text FROM t
+WITH t AS (SELECT doc_id, '<p class="x">' || replace(replace(text, '&', '&amp;'), chr(10), '<br/>') || '</p><i>&mdash;&eacute;&#8217;&#x41;</i>' AS html FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, regexp_replace(replace(replace(regexp_replace(regexp_replace(html, '<br\s*/?>|</p>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&mdash;&eacute;&#8217;&#x41;', '—é’A'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS text FROM t
 """)
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts written as markup, with named and numbered entities, and read again."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    html = F.concat(F.lit('<p class="x">'), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("\n"), F.lit("<br/>")), F.lit("</p><i>&mdash;</i>"))
+    html = F.concat(F.lit('<p class="x">'), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("\n"), F.lit("<br/>")), F.lit("</p><i>&mdash;&eacute;&#8217;&#x41;</i>"))
     return docs.select("doc_id", X.html_to_text(html).alias("text"))
 
 
-@REGISTRY.add("hocr_pages")
+#: Printed pages in one file of the round trips below.
+FILE_PAGES = 10
+
+
+@REGISTRY.add("hocr_pages", f"""
+WITH {PAGE_LINES_SQL}
+SELECT issue, page // {FILE_PAGES} AS file_no, CAST(row_number() OVER (PARTITION BY issue, page // {FILE_PAGES} ORDER BY page) AS INTEGER) AS page, text
+FROM (SELECT issue, page, string_agg(trim(regexp_replace(line, '\\s+', ' ', 'g')), chr(10) ORDER BY line_no) AS text FROM page_lines WHERE regexp_replace(line, '\\s+', '', 'g') <> '' GROUP BY issue, page)
+""")
 def hocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as positional markup, a span for each line and word, and read again."""
-    esc = F.replace(F.replace("line", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    """Pages written as positional markup, a span for each line and word, some in a file, and read again."""
+    esc = F.replace(F.replace(F.replace(X.strip(F.col("line")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     words = F.concat(F.lit("<span class='ocr_line'><span class='ocrx_word'>"), F.regexp_replace(esc, r"\s+", "</span> <span class='ocrx_word'>"), F.lit("</span></span>"))
     lines = page_lines(spark, sf_dir).where(X.strip(F.col("line")) != "")
     pages = lines.groupBy("issue", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", words.alias("w")))), lambda l: l["w"]), "\n").alias("m"))
-    issues = pages.groupBy("issue").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "m"))), lambda p: F.concat(F.lit("<div class='ocr_page'>"), p["m"], F.lit("</div>"))), "\n").alias("markup"))
-    return files.hocr_pages(issues)
+    file = F.to_json(F.struct("issue", F.floor(F.col("page") / FILE_PAGES).cast("int").alias("file_no")))
+    written = pages.groupBy(file.alias("issue")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "m"))), lambda p: F.concat(F.lit("<div class='ocr_page'>"), p["m"], F.lit("</div>"))), "\n").alias("markup"))
+    read = files.hocr_pages(written).withColumn("_f", F.from_json("issue", "issue string, file_no int"))
+    return read.select("_f.issue", "_f.file_no", "page", "text")
 
 
-@REGISTRY.add("form_feed_pages", r"""
-WITH t AS (SELECT issue, string_agg(text, chr(12) ORDER BY page) AS text FROM stage_pages WHERE stage = 'rules_routeA' AND text IS NOT NULL GROUP BY issue)
-SELECT issue, i AS page, p[i] AS text FROM (SELECT issue, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT issue, string_split(text, chr(12)) AS p FROM t))
+@REGISTRY.add("form_feed_pages", f"""
+SELECT issue, page // {FILE_PAGES} AS file_no, CAST(row_number() OVER (PARTITION BY issue, page // {FILE_PAGES} ORDER BY page) AS INTEGER) AS page, text FROM (SELECT DISTINCT issue, page, text FROM stage_pages WHERE stage = 'rules_routeA' AND text IS NOT NULL)
 """)
 def form_feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "stage_pages").where("stage = 'rules_routeA' and text is not null")
-    whole = pages.groupBy("issue").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\f").alias("text"))
-    return files.form_feed_pages(whole)
+    """Pages written with form feeds between them, some in a file, and read again."""
+    pages = table(spark, sf_dir, "stage_pages").where("stage = 'rules_routeA' and text is not null").select("issue", "page", "text").distinct()
+    file = F.to_json(F.struct("issue", F.floor(F.col("page") / FILE_PAGES).cast("int").alias("file_no")))
+    whole = pages.groupBy(file.alias("issue")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\f").alias("text"))
+    read = files.form_feed_pages(whole).withColumn("_f", F.from_json("issue", "issue string, file_no int"))
+    return read.select("_f.issue", "_f.file_no", "page", "text")
 
 
 DROPPED = "('picture', 'figure', 'image', 'table', 'pageheader', 'pagefooter', 'caption', 'footnote', 'handwriting', 'equation', 'form')"
@@ -266,13 +319,23 @@ def dict_word_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.add("cer_lines", r"""
-WITH t AS (SELECT change_id, regexp_replace(text_after, '[^\x00-\x7F]', '?', 'g') AS h, regexp_replace(text_before, '[^\x00-\x7F]', '?', 'g') AS r FROM change_log WHERE text_before IS NOT NULL AND text_after IS NOT NULL)
-SELECT change_id, round(levenshtein(h, r) / greatest(1, length(r)), 4) AS cer FROM t
-""")
+SELECT change_id, round(levenshtein(h, r) / greatest(1, length(r)), 4) AS cer FROM (SELECT DISTINCT change_id,
+  regexp_replace(regexp_replace(lower(translate(text_after, '‘’“”—–', '''''""--')), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS h, regexp_replace(regexp_replace(lower(translate(text_before, '‘’“”—–', '''''""--')), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS r
+  FROM change_log WHERE text_before IS NOT NULL AND text_after IS NOT NULL) WHERE regexp_full_match(h || r, '[\x00-\x7F]*')
+""".replace("\\'", "'"))
 def cer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
-    rows = table(spark, sf_dir, "change_log").where("text_before is not null and text_after is not null").select("change_id", ascii("text_after").alias("h"), ascii("text_before").alias("r"))
-    return rows.select("change_id", F.round(F.levenshtein("h", "r") / F.greatest(F.lit(1), F.length("r")), 4).alias("cer"))
+    """Character errors of the changed lines whose scoring form is ASCII, where bytes and characters agree; cer_other_lines has the rest."""
+    return _cer(spark, sf_dir).where(F.col("plain")).drop("plain")
+
+
+@REGISTRY.add("cer_other_lines")
+def cer_other_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cer(spark, sf_dir).where(~F.col("plain")).drop("plain")
+
+
+def _cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "change_log").where("text_before is not null and text_after is not null").select("change_id", X.norm_scoring(F.col("text_after")).alias("h"), X.norm_scoring(F.col("text_before")).alias("r")).distinct()
+    return rows.select("change_id", M.character_error_rate("h", "r").alias("cer"), F.concat("h", "r").rlike(r"^[\x00-\x7F]*\z").alias("plain"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +418,9 @@ u5 AS (SELECT *, CASE WHEN kind = 'fragment' THEN 'f' || CAST(CAST(fragment AS B
 u6 AS (SELECT *, min(region_order) OVER (PARTITION BY issue, page, unit) AS first_at FROM u5),
 u7 AS (SELECT *, first_value(CASE WHEN kind = 'fragment' AND NOT heads AND region_order > first_at THEN trim(nullif(regexp_extract(text, '^\s*[Bb]y\s+([A-Z][\w. ]+)', 1), '')) END IGNORE NULLS)
     OVER (PARTITION BY issue, page, unit ORDER BY region_order, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS author FROM u6),
-units AS (SELECT issue, page, region_order, kind, author, dense_rank() OVER (PARTITION BY issue, page ORDER BY first_at, unit) - 1 AS unit_no, kind = 'fragment' AND fragment = 0 AS "continues" FROM u7)
+u8 AS (SELECT *, CASE WHEN kind = 'fragment' THEN first_value(CASE WHEN heads THEN substr(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1], 1, 120) END IGNORE NULLS)
+    OVER (PARTITION BY issue, page, unit ORDER BY region_order, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS title FROM u7),
+units AS (SELECT issue, page, region_order, kind, title, author, dense_rank() OVER (PARTITION BY issue, page ORDER BY first_at, unit) - 1 AS unit_no, kind = 'fragment' AND fragment = 0 AS "continues" FROM u8)
 """
 WORKS_SQL = UNITS_SQL + r""",
 w0 AS (SELECT issue, page, unit_no, any_value(kind) AS kind, any_value("continues") AS cont FROM units WHERE kind <> 'furniture' GROUP BY issue, page, unit_no),
@@ -364,9 +429,9 @@ works AS (SELECT issue, page, unit_no, kind, CASE WHEN kind = 'fragment' THEN 'w
 """
 
 
-@REGISTRY.add("pass_a_units", f'WITH {UNITS_SQL} SELECT issue, page, region_order, kind, unit_no, author, "continues" FROM units')
+@REGISTRY.add("pass_a_units", f'WITH {UNITS_SQL} SELECT issue, page, region_order, kind, unit_no, title, author, "continues" FROM units')
 def pass_a_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.page_units(table(spark, sf_dir, "layout_regions")).drop("title")
+    return assembly.page_units(table(spark, sf_dir, "layout_regions"))
 
 
 @REGISTRY.add("pass_b_stitch", f"WITH {WORKS_SQL} SELECT * FROM works")
@@ -377,14 +442,32 @@ def pass_b_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add("work_records", f"""
 WITH {WORKS_SQL},
 sizes AS (SELECT issue, page, region_order, sum(length(text)) AS c FROM (SELECT DISTINCT issue, page, region_order, text FROM layout_regions WHERE text IS NOT NULL) GROUP BY ALL)
-SELECT u.issue, work_no, CASE WHEN max(u.kind) = 'fragment' THEN 'story' ELSE 'ad' END AS art_type, list_sort(list_distinct(list(u.page))) AS pages, count(*) AS n_regions, CAST(sum(c) AS BIGINT) AS n_chars
+SELECT u.issue, work_no, CASE WHEN max(u.kind) = 'fragment' THEN 'story' ELSE 'ad' END AS art_type, arg_min_null(title, (u.page, u.unit_no, u.region_order)) AS title, arg_min_null(author, (u.page, u.unit_no, u.region_order)) AS author, list_sort(list_distinct(list(u.page))) AS pages, count(*) AS n_regions, CAST(sum(c) AS BIGINT) AS n_chars
 FROM units u JOIN works w ON u.issue = w.issue AND u.page = w.page AND u.unit_no = w.unit_no JOIN sizes s ON s.issue = u.issue AND s.page = u.page AND s.region_order = u.region_order
 WHERE u.kind <> 'furniture' GROUP BY u.issue, work_no
 """)
 def work_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "layout_regions")
     units = assembly.page_units(regions)
-    return assembly.work_records(regions, units, assembly.stitched(units)).drop("title", "author")
+    return assembly.work_records(regions, units, assembly.stitched(units))
+
+
+@REGISTRY.add("article_records", f"""
+WITH RECURSIVE {WORKS_SQL},
+held AS (SELECT u.issue, w.work_no, u.page, u.unit_no, u.region_order, u.kind, u.title, u.author FROM units u JOIN works w ON u.issue = w.issue AND u.page = w.page AND u.unit_no = w.unit_no WHERE u.kind <> 'furniture'),
+texts AS (SELECT DISTINCT issue, page, region_order, text FROM layout_regions WHERE text IS NOT NULL),
+records AS (SELECT issue, work_no, CASE WHEN max(kind) = 'fragment' THEN 'story' ELSE 'ad' END AS art_type, arg_min_null(title, (page, unit_no, region_order)) AS title, arg_min_null(author, (page, unit_no, region_order)) AS author,
+  list_sort(list_distinct(list(page))) AS pages, min((page, unit_no)) AS first_at FROM held GROUP BY ALL),
+numbered AS (SELECT *, issue || '_a' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END AS article_id FROM (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY first_at) AS k FROM records)),
+raws AS (SELECT h.issue, n.article_id, string_agg(t.text, chr(10) ORDER BY h.page, h.unit_no, h.region_order, t.text) AS raw FROM held h JOIN texts t ON t.issue = h.issue AND t.page = h.page AND t.region_order = h.region_order JOIN numbered n ON n.issue = h.issue AND n.work_no = h.work_no GROUP BY ALL),
+{CLEAN_SQL}
+SELECT n.issue, n.article_id, art_type, title, author, pages, text FROM numbered n JOIN cleaned c ON c.issue = n.issue AND c.article_id = n.article_id
+""")
+def article_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles built from the layout alone: numbered, with pages and cleaned text."""
+    regions = table(spark, sf_dir, "layout_regions")
+    units = cut(assembly.page_units(regions))
+    return assembly.article_records(regions, units, assembly.stitched(units))
 
 
 ENTRIES_SQL = r"""
@@ -444,9 +527,14 @@ def double_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.double_claims(table(spark, sf_dir, "articles"))
 
 
-@REGISTRY.add("dedupe_regions", f"WITH {CLAIMS_SQL} SELECT DISTINCT article_id, issue, page, region_order FROM claims")
+@REGISTRY.add("dedupe_regions", """
+WITH f AS (SELECT article_id, issue, unnest(range(1, len(fragments) + 1)) - 1 AS fragment_no, unnest(fragments) AS f FROM articles),
+c AS (SELECT article_id, issue, fragment_no, f.page AS page, unnest(range(1, len(f.region_ids) + 1)) - 1 AS region_no, unnest(f.region_ids) AS region_order FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY article_id, issue, page, region_order ORDER BY fragment_no, region_no) AS k FROM c)
+SELECT article_id, issue, page, region_order, fragment_no, region_no FROM r WHERE k = 1
+""")
 def dedupe_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.first_claims(table(spark, sf_dir, "articles")).drop("at")
+    return assembly.first_claims(table(spark, sf_dir, "articles")).select("article_id", "issue", "page", "region_order", F.col("at.f").alias("fragment_no"), F.col("at.r").alias("region_no"))
 
 
 @REGISTRY.add("claimed_text_size", f"""
@@ -473,6 +561,13 @@ def article_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.search(table(spark, sf_dir, "articles"), " THE ", "story").select("article_id", "title", "author", "art_type")
 
 
+@REGISTRY.add("article_search_status", f"WITH RECURSIVE {REPLAY_SQL} SELECT article_id, title, author, art_type, status FROM replayed WHERE (contains(lower(title), 'the') OR contains(lower(author), 'the')) AND status = 'verified'")
+def article_search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search over the corrected articles, those alone that are verified."""
+    rows = replay.replayed(table(spark, sf_dir, "articles"), table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "annotations"))
+    return assembly.search(rows, "the", status="verified").select("article_id", "title", "author", "art_type", "status")
+
+
 @REGISTRY.add("article_with_issue", "SELECT article_id, coalesce(p.magazine, a.issue) AS magazine, coalesce(p.cover_date, '') AS cover_date FROM articles a LEFT JOIN pilot_issues p ON p.id = a.issue")
 def article_with_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = table(spark, sf_dir, "pilot_issues").select(F.col("id").alias("issue"), "magazine", "cover_date")
@@ -488,6 +583,13 @@ def opening_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("article_id", X.head_words(F.col("w"), 12).alias("first_words"), X.tail_words(F.col("w"), 12).alias("last_words"))
 
 
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.folded(table(spark, sf_dir, "articles"), table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "annotations"))
+
+
+PAGES_AFTER = "CASE WHEN len(held_pages) > 0 THEN held_pages ELSE machine_pages END"
+
+
 FURNITURE_SQL = r"""
 t0 AS (SELECT DISTINCT issue, page, region_order, regexp_replace(lower(label), '[^a-z]', '', 'g') IN ('pageheader', 'pagefooter') OR regexp_full_match(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\d{1,4}') AS furniture
   FROM layout_regions WHERE regexp_replace(coalesce(text, ''), '\s+', '', 'g') <> ''),
@@ -506,6 +608,10 @@ FROM boxes b LEFT JOIN own o ON o.issue = b.issue AND o.frag = b.page || ':' ||
 LEFT JOIN uns u ON u.issue = b.issue AND u.page = b.page AND u.region_order = b.region_order
 """)
 def box_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boxes(spark, sf_dir, _folded(spark, sf_dir))
+
+
+def _boxes(spark: SparkSession, sf_dir: str, done: DataFrame) -> DataFrame:
     """Boxes after all corrections: their articles, what machine or people call furniture, and what nothing claimed."""
     regions = table(spark, sf_dir, "layout_regions")
     units = assembly.page_units(regions)
@@ -513,7 +619,7 @@ def box_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = people.select("issue", F.split_part("frag", F.lit(":"), F.lit(1)).try_cast("int").alias("page"), F.split_part("frag", F.lit(":"), F.lit(2)).try_cast("int").alias("region_order"))
     keys = ["issue", "page", "region_order"]
     unsorted = units.where("kind <> 'furniture'").select(*keys).join(assembly.claims(table(spark, sf_dir, "articles")), keys, "left_anti")
-    return assembly.box_map(regions, replay.owners(_folded(spark, sf_dir)), units.where("kind = 'furniture'").select(*keys).unionByName(people), unsorted)
+    return assembly.box_map(regions, replay.owners(done), units.where("kind = 'furniture'").select(*keys).unionByName(people), unsorted)
 
 
 @REGISTRY.add("coverage_check", f"""
@@ -534,13 +640,33 @@ def types_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles").agg(F.count("*").alias("n_articles"), F.count_distinct("issue").alias("n_issues"), F.sort_array(F.collect_set(F.coalesce("art_type", F.lit("other")))).alias("types"))
 
 
-@REGISTRY.add("issue_documents")
+@REGISTRY.add("issue_documents", f"""
+WITH RECURSIVE {REPLAY_SQL}, {CLAIMS_SQL}, {FURNITURE_SQL},
+boxes AS (SELECT issue, page, region_order, row_number() OVER (PARTITION BY issue, page ORDER BY region_order) - 1 AS i FROM (SELECT DISTINCT issue, page, region_order FROM layout_regions)),
+own AS (SELECT issue, frag, arg_min(article_id, ord) AS owner FROM (SELECT issue, article_id, ord, unnest(frags) AS frag FROM replayed) GROUP BY ALL),
+map AS (SELECT b.issue, b.page, b.region_order, b.page || CASE WHEN i < 26 THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(i + 1 AS INTEGER), 1) ELSE 'Z' || i END AS box, owner,
+  CASE WHEN owner IS NOT NULL THEN 'article' WHEN f.issue IS NOT NULL THEN 'furniture' WHEN u.issue IS NOT NULL THEN 'unsorted' ELSE 'unassigned' END AS kind
+  FROM boxes b LEFT JOIN own o ON o.issue = b.issue AND o.frag = b.page || ':' || b.region_order LEFT JOIN furn f ON f.issue = b.issue AND f.page = b.page AND f.region_order = b.region_order LEFT JOIN uns u ON u.issue = b.issue AND u.page = b.page AND u.region_order = b.region_order),
+body AS (SELECT issue, article_id, unnest(range(1, len(frags) + 1)) AS k, unnest(frags) AS frag, edits, roles FROM replayed WHERE override IS NULL),
+parts AS (SELECT b.issue, b.article_id, k, coalesce(edits[b.frag], CASE WHEN starts_with(b.frag, 'm:') THEN '' ELSE region_text END, '') AS t FROM body b LEFT JOIN reg r ON r.issue = b.issue AND r.frag = b.frag WHERE coalesce(roles[b.frag], '') NOT IN ('title', 'subtitle', 'author')),
+raws AS (SELECT a.issue, a.article_id, coalesce(string_agg(t, chr(10) ORDER BY k), '') AS raw FROM replayed a LEFT JOIN parts p ON p.issue = a.issue AND p.article_id = a.article_id WHERE a.override IS NULL GROUP BY ALL),
+{CLEAN_SQL},
+texts AS (SELECT issue, article_id, text FROM cleaned UNION ALL SELECT issue, article_id, override FROM replayed WHERE override IS NOT NULL)
+SELECT r.issue, 'article' AS part, r.article_id AS key, CAST(to_json({{'article_id': r.article_id, 'art_type': art_type, 'title': title, 'subtitle': subtitle, 'author': author, 'pages': {PAGES_AFTER}, 'fragments': array_to_string(frags, ','), 'status': status, 'users': array_to_string(users, ','), 'text': text}}) AS VARCHAR) AS doc
+FROM replayed r JOIN texts t ON t.issue = r.issue AND t.article_id = r.article_id
+UNION ALL SELECT issue, 'page', CAST(page AS VARCHAR), CAST(to_json(list({{'region_order': region_order, 'box': box, 'kind': kind, 'owner': owner}} ORDER BY region_order)) AS VARCHAR) FROM map GROUP BY issue, page
+""")
 def issue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """issue, doc: an issue's articles and boxes as one JSON document, texts aside."""
-    articles = table(spark, sf_dir, "articles")
-    index = assembly.article_index(articles).groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("article_id", "art_type", "title", "author", "first_page", "last_page", "words"))).alias("articles"))
-    boxes = box_map(spark, sf_dir).groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("page", "region_order", "box", "kind", "owner"))).alias("boxes"))
-    return boxes.join(index, "issue", "left").select("issue", F.to_json(F.struct("issue", F.coalesce("articles", F.array().cast(index.schema["articles"].dataType)).alias("articles"), "boxes")).alias("doc"))
+    """issue, part, key, doc: an issue's state as JSON documents, one an article (with its text) and one a page (its boxes)."""
+    articles, regions, events = (table(spark, sf_dir, t) for t in ("articles", "layout_regions", "annotations"))
+    done = _folded(spark, sf_dir)
+    keep = {"ignoreNullFields": "false"}
+    rows = replay.replayed(articles, regions, events, done).join(replay.final_texts(regions, events, done), ["issue", "article_id"])
+    fields = ["article_id", "art_type", "title", "subtitle", "author", "pages", "fragments", "status", "users", "text"]
+    texts = rows.select("issue", F.lit("article").alias("part"), F.col("article_id").alias("key"), F.to_json(F.struct(*fields), keep).alias("doc"))
+    boxes = F.array_sort(F.collect_list(F.struct("region_order", "box", "kind", "owner")))
+    pages = _boxes(spark, sf_dir, done).groupBy("issue", "page").agg(boxes.alias("b")).select("issue", F.lit("page").alias("part"), F.col("page").cast("string").alias("key"), F.to_json("b", keep).alias("doc"))
+    return texts.unionByName(pages)
 
 
 # ---- replay ----
@@ -558,13 +684,6 @@ def replay_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("article_id").agg(F.max_by(F.coalesce("text", F.lit("")), "event_id").alias("text"))
 
 
-def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.folded(table(spark, sf_dir, "articles"), table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "annotations"))
-
-
-PAGES_AFTER = "CASE WHEN len(held_pages) > 0 THEN held_pages ELSE machine_pages END"
-
-
 @REGISTRY.add("replay_full", f"WITH RECURSIVE {REPLAY_SQL} SELECT issue, article_id, art_type, title, subtitle, author, {PAGES_AFTER} AS pages, array_to_string(frags, ',') AS fragments, status, verified_by, array_to_string(users, ',') AS users FROM replayed")
 def replay_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replayed(table(spark, sf_dir, "articles"), table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "annotations"))
@@ -626,7 +745,10 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUNS_SQL = "runs AS (SELECT issue, stage, model, count(latency_s) AS pages, sum(latency_s) AS seconds FROM (SELECT DISTINCT * FROM page_meta) GROUP BY ALL)"
 
 
-@REGISTRY.add("timing_rollup", f"WITH {RUNS_SQL} SELECT stage, count(*) AS runs, CAST(sum(pages) AS BIGINT) AS pages, round(sum(coalesce(seconds, 0)), 4) AS seconds, CASE WHEN sum(pages) > 0 THEN round(round(sum(coalesce(seconds, 0)), 4) / sum(pages), 10) END AS sec_per_page FROM runs GROUP BY stage")
+@REGISTRY.add("timing_rollup", f"""
+WITH {RUNS_SQL}, a AS (SELECT stage, count(*) AS runs, CAST(sum(pages) AS BIGINT) AS pages, round(sum(coalesce(seconds, 0)), 4) AS seconds FROM runs GROUP BY stage)
+SELECT *, CASE WHEN pages > 0 THEN round(seconds / pages, 10) END AS sec_per_page, CASE WHEN pages > 0 THEN CAST(round(nullif(seconds / pages, 0) * 1700000 / 3600) AS BIGINT) END AS projected_hours FROM a
+""")
 def timing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.timing_rollup(_runs(spark, sf_dir))
 
@@ -642,12 +764,13 @@ def issue_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add("page_facts", """
 WITH m AS (SELECT DISTINCT * FROM page_meta),
-r AS (SELECT issue, stage, avg(latency_s) AS s FROM m GROUP BY ALL)
+r0 AS (SELECT issue, stage, max(page) AS seq, model, count(latency_s) AS pages, sum(latency_s) AS seconds FROM m GROUP BY ALL),
+r AS (SELECT issue, stage, round(arg_max(seconds / pages, seq), 10) AS s FROM r0 WHERE pages > 0 GROUP BY issue, stage)
 SELECT m.issue, m.stage, m.page, m.model, round(coalesce(nullif(latency_s, 0), nullif(s, 0)), 10) AS seconds FROM m LEFT JOIN r USING (issue, stage)
 """)
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = table(spark, sf_dir, "page_meta").distinct()
-    return reports.page_facts(meta, meta.groupBy("issue", "stage").agg(F.avg("latency_s").alias("sec_per_page")))
+    """A page's latency, without one the rate of its issue's last run of the stage."""
+    return reports.page_facts(table(spark, sf_dir, "page_meta").distinct(), issue_rates(spark, sf_dir))
 
 
 @REGISTRY.add("failure_streaks", """
@@ -676,7 +799,10 @@ def next_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.next_in_ring(done, done.where("status <> 'verified'"))
 
 
-@REGISTRY.add("page_export", r"SELECT issue, stage, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY page, text), '^\s+|\s+$', '', 'g') AS text, count(*) AS n_pages FROM stage_pages WHERE text IS NOT NULL GROUP BY issue, stage")
+@REGISTRY.add("page_export", """
+WITH p AS (SELECT issue, stage, page, max(text) AS text FROM stage_pages WHERE text IS NOT NULL GROUP BY ALL)
+SELECT issue, stage, page, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY issue, stage ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at, text FROM p
+""")
 def page_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.page_export(table(spark, sf_dir, "stage_pages"))
 
@@ -700,7 +826,5 @@ n AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_i
 SELECT user_id, CAST(k AS BIGINT) AS session_no, count(*) AS n_events FROM n GROUP BY user_id, k
 """)
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(w).cast("timestamp").cast("double")
-    rows = table(spark, sf_dir, "events").withColumn("_s", F.when(gap <= 6 * 3600, 0).otherwise(1))
-    return rows.withColumn("session_no", F.sum("_s").over(w)).groupBy("user_id", "session_no").agg(F.count("*").alias("n_events"))
+    rows = reports.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 6 * 3600)
+    return rows.groupBy("user_id", "session_no").agg(F.count("*").alias("n_events"))

@@ -45,14 +45,29 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
+_dropped: set[str] = set()
+
+
+def _drop_at_end(spark: SparkSession, folder: str) -> None:
+    """Has the folder deleted when the application ends."""
+    if folder not in _dropped:
+        _dropped.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: the lineage ends here.
 
-    A lost executor costs nothing, as the files outlive it. Columnar and compressed, so it is a
+    A lost executor costs nothing, as the files outlive it; they go when the application ends. Columnar and compressed, so it is a
     fraction of a checkpoint's size and later readers take only the columns they use.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/leafmill/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/leafmill/{spark.sparkContext.applicationId}"
+    _drop_at_end(spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -45,3 +45,28 @@ def test_contents(spark):
     entries = assembly.contents_entries(spark.createDataFrame([("i", 1, page), ("j", 1, None)], "issue string, page int, text string"))
     assert [(r.line_no, r.title, r.author, r.start_page) for r in entries.orderBy("line_no").collect()] == [(1, "The Iron Door", "A. Writer", 12), (3, "Poem", None, 20), (4, "The Iron Hand", None, 20)]
     assert sorted((r.title, r.end_page) for r in assembly.contents_ranges(entries).collect() if r.end_page) == [("The Iron Door", 19)]
+
+
+def test_reports_of_people_and_sessions(spark):
+    from leafmill.operators import reports
+
+    users = spark.createDataFrame([("zed", "Z", "pending"), ("ann", "", None), ("bob", "Bob B.", "active")], "user_name string, display_name string, status string")
+    assert [r.user_name for r in reports.people_listed(users).collect()] == ["zed", "ann", "bob"]
+    rows = spark.createDataFrame([(1, "ann"), (2, "bob"), (3, "gone"), (4, None)], "seq int, user_name string")
+    assert {r.seq: r.shown_name for r in reports.with_display_names(rows, users).collect()} == {1: "ann", 2: "Bob B.", 3: "gone", 4: None}
+    assert [r.seq for r in reports.newest_first(rows, "seq").collect()] == [4, 3, 2, 1]
+    events = spark.createDataFrame([(k, "u", t) for k, t in enumerate([0, 10, 100, 105, 250, 251])] + [(9, None, 5)], "id int, u string, s int").selectExpr("id", "u", "timestamp_seconds(s) as t")
+    for span in (7, 60, 10_000):
+        assert {r.id: r.session_no for r in reports.sessions(events, "u", "t", "id", 20, span).collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 4: 3, 5: 3}
+
+
+def test_full_texts_as_files(spark, tmp_path):
+    from leafmill.operators import reports
+
+    pages = spark.createDataFrame([("i", "s", p, f"page {p}") for p in (1, 2, 1500, 3)] + [("i", "s", 4, None)], "issue string, stage string, page int, text string")
+    got = {r.page: r.start_at for r in reports.page_export(pages).collect()}
+    whole = "\n\n".join(f"page {p}" for p in (1, 2, 3, 1500))
+    assert got == {p: whole.index(f"page {p}") for p in (1, 2, 3)} | {1500: whole.index("page 1500")}
+    reports.write_export(pages, str(tmp_path / "x"))
+    (first,) = (tmp_path / "x" / "issue=i" / "stage=s" / "part=0").glob("*.txt")
+    assert first.read_text() == "page 1\n\npage 2\n\npage 3\n\n"

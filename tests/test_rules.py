@@ -1,56 +1,31 @@
-import re
-
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
-
 from leafmill.operators import heads, rules
 
 
-def is_word(w):
-    w = w.lower().strip(".,;:!?'\"")
-    return re.fullmatch("[a-z]{2,20}", w) is not None and re.search("[aeiouy]", w) is not None
-
-
-def joined_one_by_one(pages):
-    """The rule as a walk over an issue's lines: each takes the next line's first word, if they make a word."""
-    flat = [[p, n, line] for p, lines in enumerate(pages, 1) for n, line in enumerate(lines, 1)]
-    log = []
-    for i, (page, n, line) in enumerate(flat):
-        tail = re.search("([A-Za-z]{2,})-$", line)
-        later = next((x for x in flat[i + 1 :] if x[2].strip()), None)
-        if not tail or later is None:
-            continue
-        head = re.match(r"([A-Za-z]+)([^\sA-Za-z]*)", later[2].lstrip())
-        if head and is_word(tail[1] + head[1]):
-            flat[i][2] = line[: -len(tail[0])] + tail[1] + head[0]
-            later[2] = later[2].lstrip()[head.end() :].lstrip()
-            log.append((page, n, f"{tail[1]}- + {head[1]} -> {tail[1]}{head[0]}"))
-    return flat, log
-
-
 def run(spark, pages):
     data = [("i", p, n, line) for p, lines in enumerate(pages, 1) for n, line in enumerate(lines, 1)]
     got = rules.dehyphenated(spark.createDataFrame(data, "issue string, page int, line_no int, line string")).collect()
     got = sorted(got, key=lambda r: (r.page, r.line_no))
-    return [[r.page, r.line_no, r.line.strip()] for r in got], [(r.page, r.line_no, r.joined) for r in got if r.joined]
-
-
-def check(spark, pages):
-    flat, log = joined_one_by_one(pages)
-    lines, joined = run(spark, pages)
-    assert joined == log
-    assert lines == [[p, n, x.strip()] for p, n, x in flat]
-
-
-def test_chains_consumed_lines_and_page_ends(spark):
-    check(spark, [["the mo-", "tion-", "less water", "", "half a win-"], ["", "dow, they said", "xx-", "zz end", "un-", "able-", "ness-", "es."]])
-    check(spark, [["mo-", "", "tion. Then", "no break-"], ["", ""]])
-
-
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.lists(st.sampled_from(["", "a win-", "win-", "dow is", "dow-", "dow", "1st line", "the end.", "ex-", "x-", "be-", "to, and on-"]), min_size=1, max_size=7), min_size=1, max_size=1))
-def test_like_the_walk(spark, pages):
-    check(spark, pages)
+    return [[r.line.strip() for r in got if r.page == p] for p in range(1, len(pages) + 1)], [r.joined for r in got if r.joined]
+
+
+#: Lines of pages, the lines after the rule, and its log, worked out by hand from the rule's description.
+WORKED = [
+    ([["the win-", "dow is open"]], [["the window", "is open"]], ["win- + dow -> window"]),
+    ([["a mo-", "tion. Then"]], [["a motion.", "Then"]], ["mo- + tion -> motion."]),  # signs go with the half
+    ([["half a win-"], ["", "dow, they said"]], [["half a window,"], ["", "they said"]], ["win- + dow -> window,"]),  # over blank lines and pages
+    ([["mo-", "tion-", "less water"]], [["motion-", "", "less water"]], ["mo- + tion -> motion-"]),  # a line taken whole has nothing left to join
+    ([["un-", "able-", "ness-", "es."]], [["unable-", "", "nesses.", ""]], ["un- + able -> unable-", "ness- + es -> nesses."]),
+    ([["xx-", "zz end"]], [["xx-", "zz end"]], []),  # no vowel, no word
+    ([["x-", "ray"]], [["x-", "ray"]], []),  # one letter is no half
+    ([["a win-", "1st dow"]], [["a win-", "1st dow"]], []),
+    ([["to be-", "come - as be-", "fore"]], [["to become", "- as before", ""]], ["be- + come -> become", "be- + fore -> before"]),
+    ([["the end-"]], [["the end-"]], []),
+]
+
+
+def test_worked_examples(spark):
+    for pages, lines, log in WORKED:
+        assert run(spark, pages) == (lines, log)
 
 
 def test_paragraphs(spark):

@@ -24,6 +24,22 @@ def test_edit_distance(a, b, substitute):
     assert M.edit_distance(list(a), list(b), substitute) == naive(a, b, substitute)
 
 
+@given(TEXT, TEXT)
+def test_block_distance_is_no_less(a, b):
+    assert M.block_distance(a, b) >= M.edit_distance(list(a), list(b))
+    assert M.block_distance("x" * (M.FALLBACK_MOST + 1), a) is None
+
+
+def test_a_window_without_an_undamaged_run_is_found():
+    import random
+
+    r = random.Random(2)
+    probe = "".join(r.choice("abcdefghijklmnop ") for _ in range(280))
+    damaged = "".join("#" if k % 6 == 5 else c for k, c in enumerate(probe))
+    start, end = M.best_window(probe, "x y z " * 50 + damaged + " q" * 100, 0.6)
+    assert abs(start - 300) < 20 and abs(end - 300 - len(damaged)) < 20
+
+
 def test_locate_finds_a_damaged_copy():
     import random
 
@@ -52,6 +68,9 @@ def test_measures_of_nulls_and_empty(spark):
         (X.garbage_score, "~~~|||^^^", 1.0),
         (X.garbage_score, "", 0.0),
         (X.html_to_text, "<p>A<br/>B</p>&lt;i&gt; &amp;amp;", "A\nB\n<i> &amp;"),
+        (X.html_to_text, "caf&eacute;&#8217;s &frac12;", "café’s ½"),
+        (X.url_encoded, "a b/c?é", "a%20b/c%3F%C3%A9"),
+        (X.base64_of, "abc", "YWJj"),
         (X.strip_think, "<think>a\nb</think> yes ", "yes"),
         (X.norm_scoring, " “A”  —\nB ", '"a" - b'),
         (X.first_json, "Sure: {\"a\": 1} bye", '{"a": 1}'),

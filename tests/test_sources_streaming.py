@@ -43,7 +43,7 @@ def test_hocr_round_trip(spark, sf):
     for r in sorted(lines, key=lambda r: (r.issue, r.page)):
         want.setdefault(r.issue, []).append("\n".join(" ".join(x.line.split()) for x in r.l))
     got = {}
-    for r in REGISTRY.queries["hocr_pages"](spark, sf).orderBy("issue", "page").collect():
+    for r in REGISTRY.queries["hocr_pages"](spark, sf).orderBy("issue", "file_no", "page").collect():
         got.setdefault(r.issue, []).append(r.text)
     assert got == want
 
