@@ -106,9 +106,18 @@ def mixture(sizes: DataFrame, targets: DataFrame, slots: int = SLOTS) -> DataFra
 
 
 def shares(chosen: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """mix_id, source, target_tokens, actual_tokens, target_share, actual_share, n_docs, most_repeats of every target."""
+    """mix_id, source, target_tokens, actual_tokens, target_share, actual_share, n_docs, most_repeats, feasible_tokens of every target.
+
+    ``feasible_tokens`` is what the source would give in the largest mix that every source with a weight
+    can fill to its share within its repeats, and no larger than the budget: the alternative to a mix that
+    leaves its shares because a source is short. A source without documents makes it 0.
+    """
+    planned = plan(sizes, targets)
+    room = F.when(F.col("weight_share") > 0, F.col("source_tokens") * F.col("max_repeats") / F.col("weight_share"))
+    largest = planned.groupBy("mix_id").agg(F.least(F.min(room), F.sum("target_tokens").cast("double")).alias("_largest"))
     actual = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("actual_tokens"), F.count("*").alias("n_docs"), F.max("repeats").alias("most_repeats"))
-    rows = plan(sizes, targets).select("mix_id", "source", "target_tokens", F.col("weight_share").alias("target_share")).join(actual, ["mix_id", "source"], "left").na.fill(0, ["actual_tokens", "n_docs", "most_repeats"])
+    rows = planned.select("mix_id", "source", "target_tokens", F.col("weight_share").alias("target_share")).join(actual, ["mix_id", "source"], "left").na.fill(0, ["actual_tokens", "n_docs", "most_repeats"])
     whole = rows.groupBy("mix_id").agg(F.sum("actual_tokens").alias("_all"))
-    out = rows.join(whole, "mix_id").withColumn("actual_share", F.when(F.col("_all") > 0, F.round(F.col("actual_tokens") / F.col("_all"), 6)).otherwise(0.0))
-    return out.select("mix_id", "source", "target_tokens", "actual_tokens", F.round("target_share", 6).alias("target_share"), "actual_share", "n_docs", "most_repeats")
+    out = rows.join(whole, "mix_id").join(largest, "mix_id").withColumn("actual_share", F.when(F.col("_all") > 0, F.round(F.col("actual_tokens") / F.col("_all"), 6)).otherwise(0.0))
+    feasible = F.floor(F.coalesce(F.col("_largest"), F.lit(0.0)) * F.col("target_share") + 1e-6)
+    return out.select("mix_id", "source", "target_tokens", "actual_tokens", F.round("target_share", 6).alias("target_share"), "actual_share", "n_docs", "most_repeats", feasible.alias("feasible_tokens"))

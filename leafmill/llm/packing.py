@@ -67,6 +67,15 @@ def places(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
     return rows
 
 
+def class_places(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """As ``places``, each class in containers of its own: class k has k documents in each, whatever the other classes hold."""
+    rows, container = [], 0
+    for k in sorted(counts):
+        rows.append((k, 0, counts[k] - 1, container, k))
+        container += -(-counts[k] // k)
+    return rows
+
+
 def pieces(sizes: DataFrame, specs: list[tuple[int, int, str | None]]) -> DataFrame:
     """spec_id, capacity, doc_id, piece_no, n_tokens: the documents of each spec, split where larger than its capacity."""
     wanted = [F.when(F.lit(source is None) | (F.col("source") == F.lit(source)), F.struct(F.lit(s).cast("long").alias("spec_id"), F.lit(c).cast("long").alias("capacity"))) for s, c, source in specs]
@@ -76,9 +85,12 @@ def pieces(sizes: DataFrame, specs: list[tuple[int, int, str | None]]) -> DataFr
     return split.select("spec_id", "capacity", "doc_id", "piece_no", F.least("capacity", F.col("_all") - F.col("piece_no") * F.col("capacity")).alias("n_tokens"))
 
 
-def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
+def pack(sizes: DataFrame, specs: DataFrame, by_class: bool = False) -> DataFrame:
     """spec_id, doc_id, piece_no, n_tokens, container, start_at: where every document lies.
 
+    With ``by_class`` every class fills containers of its own, independently of the others: harmonic
+    packing as first published, with more room left. Without it the cells of several classes share
+    containers, by patterns of fixed counts.
     Specs with a null or non-positive capacity are left out. One row for each document, or piece of a
     split one, of each spec; containers count from 0 in each spec.
     """
@@ -93,12 +105,12 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     cells = F.when(k <= len(CELLS), F.element_at(F.array(*map(F.lit, CELLS)), F.least(k, F.lit(len(CELLS))).cast("int"))).otherwise(1)
     width = F.greatest(F.lit(1), F.ceil((top - bottom) / cells))
     upper = F.when(k == LAST_CLASS, top).otherwise(top - F.floor((top - size) / width) * width)
-    rows = rows.withColumn("_cell", upper.cast("long"))
+    rows = rows.withColumn("_cell", (k if by_class else upper).cast("long"))
     counts = rows.groupBy("spec_id", "capacity", "_cell").agg(F.count("*").alias("n")).collect()  # at most a few hundred cells a spec
     by_spec: dict[tuple[int, int], dict[int, int]] = {}
     for r in counts:
         by_spec.setdefault((r.spec_id, r.capacity), {})[r["_cell"]] = r.n
-    plan = [(s, u, lo, hi, first, n) for (s, c), cell in by_spec.items() for u, lo, hi, first, n in places(cell, c)]
+    plan = [(s, u, lo, hi, first, n) for (s, c), cell in by_spec.items() for u, lo, hi, first, n in (class_places if by_class else places)(cell, c)]
     total = sum(r.n for r in counts)
     ranked = running_total(rows, ["spec_id", "_cell"], [F.col("doc_id"), F.col("piece_no")], F.lit(1), "_rank", total)
     spread = sizes.sparkSession.createDataFrame(plan or [(0, 0, 0, -1, 0, 1)], "spec_id long, _cell long, _lo long, _hi long, _first long, _n long")

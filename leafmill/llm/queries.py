@@ -160,6 +160,13 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_rates(packing.pack(sizes.sized(table(spark, sf_dir, "documents")), specs), specs)
 
 
+@REGISTRY.add("p7_class_fill")
+def p7_class_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill rates where every class fills containers of its own."""
+    specs = table(spark, sf_dir, "pack_specs")
+    return packing.fill_rates(packing.pack(sizes.sized(table(spark, sf_dir, "documents")), specs, by_class=True), specs)
+
+
 # ---- problem 8 ----
 @REGISTRY.add("p8_mixture")
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

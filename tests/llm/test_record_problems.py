@@ -136,3 +136,21 @@ def test_shards_change_nothing(spark):
     spellings = spark.createDataFrame([("author", "Smith, John"), ("author", "Jon Smith and Ann Brown"), ("author", "J. Smith")], "kind string, spelling string")
     one = lambda n: sorted(names.link(spellings, authority, n).collect())
     assert one(1) == one(2) == one(100) and len(one(1)) > 3
+
+
+def test_classes_in_containers_of_their_own(spark):
+    docs = spark.createDataFrame([(k, "s", 1 + 37 * k % 230) for k in range(300)] + [(999, "s", 0)], "doc_id long, source string, n_tokens long")
+    specs = spark.createDataFrame([(1, 100, None)], "spec_id long, capacity_tokens long, source string")
+    got = packing.pack(docs, specs, by_class=True).toPandas()
+    per = got.groupby("container")
+    assert (per.n_tokens.sum() <= 100).all() and len(got[["doc_id", "piece_no"]].drop_duplicates()) == len(got)
+    for _, rows in per:
+        assert len({100 // max(1, n) for n in rows.n_tokens}) == 1 and len(rows) <= 100 // max(1, rows.n_tokens.max())
+    assert got.groupby("doc_id").n_tokens.sum().sum() == sum(1 + 37 * k % 230 for k in range(300))
+
+
+def test_what_the_scarcest_source_allows(spark):
+    docs = spark.createDataFrame([(k, "a" if k < 90 else "b", 10) for k in range(100)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(1, "a", 1.0, 1, 0.6), (1, "b", 1.0, 2, 0.6), (2, "a", 1.0, 1, 0.5), (2, "none", 1.0, 1, 0.5)], "mix_id long, source string, weight double, max_repeats int, budget_share double")
+    report = {(r.mix_id, r.source): r.feasible_tokens for r in mixing.shares(mixing.mixture(docs, targets), docs, targets).collect()}
+    assert report == {(1, "a"): 200, (1, "b"): 200, (2, "a"): 0, (2, "none"): 0}
