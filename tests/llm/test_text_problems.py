@@ -191,10 +191,35 @@ def test_heads_by_masked_digits(spark):
 def test_rare_forms_stay_known_in_a_larger_collection(spark):
     text = lambda n: "wintergate " * 5 + "morning " * (300 * n)
     for n in (1, 10):
-        forms = scans.forms_of(spark.createDataFrame([(text(n),)], "text string"))
-        assert forms.n == {"wintergate": 5, "morning": 300 * n} and forms.least == 5
-    few = scans.forms_of(spark.createDataFrame([(text(1) + "evening " * 40,)], "text string"), most=2)
-    assert set(few.n) == {"morning", "evening"}
+        forms, rare = scans.forms_of(spark.createDataFrame([(text(n),)], "text string"))
+        assert rare is None and forms.n == {"wintergate": 5, "morning": 300 * n} and forms.least == 5
+    few, rare = scans.forms_of(spark.createDataFrame([(text(1) + "evening " * 40,)], "text string"), most=2)
+    assert set(few.n) == {"morning", "evening"} and [(r.word, r.n) for r in rare.collect()] == [("wintergate", 5)]
+
+
+def test_strokes_stay_whatever_is_misread():
+    for true, seen in [("morning", "rnornmg"), ("returned", "retumed"), ("clear", "dear"), ("which", "vvliicli"), ("sun-bleached", "sunb1eached"), ("until", "imtil")]:
+        assert scans.strokes_of(true) == scans.strokes_of(seen)
+    for a, readings in scans.MISREADINGS.items():
+        assert {scans.strokes_of(r) for r in readings.split()} == {scans.strokes_of(a)}
+    for digit, letters in scans.DIGIT_LETTERS.items():
+        assert {scans.strokes_of(x) for x in letters} == {scans.strokes_of(digit)}
+
+
+def test_forms_that_workers_do_not_hold_change_nothing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("'documents' source_table", "cast(doc_id as string) record_key", "title", "text")
+    logs = spark.read.parquet(f"{sf}/change_log.parquet").where("joined is not null").selectExpr("'change_log' source_table", "cast(change_id as string) record_key", "cast(null as string) title", "joined text").distinct()
+    records = docs.unionByName(logs)
+    heads = scans.Heads([])
+    results = []
+    for most in (10**6, 300):
+        forms, rare = scans.forms_of(docs.select("text"), most=most)
+        assert (rare is None) == (most > 300) and len(forms.n) <= most
+        found = scans.find_defects(records, heads, forms, rare)
+        lines = scans.repaired_lines(docs, heads, forms, rare).select("record_key", "line_no", "line")
+        words = scans.right_joins(logs, forms, rare)
+        results.append([sorted(map(tuple, x.collect())) for x in (found, lines, words)])
+    assert results[0] == results[1] and len(results[0][0]) > 100
 
 
 def test_words_with_many_masks():
@@ -213,7 +238,7 @@ def test_misreadings_but_not_slips():
 def test_misreadings_of_frequent_words_are_found_again_and_slips_are_not(spark, sf):
     import random
 
-    forms = scans.forms_of(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
+    forms, _ = scans.forms_of(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
     r = random.Random(2)
     words = sorted(w for w, n in forms.n.items() if n >= 2 * forms.least and len(w) > 4 and w.isalpha() and w.isascii())
     hits = wrong = slips = tried = 0
