@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
@@ -45,67 +45,75 @@ _LEFT, _RIGHT, _BLANKS, _WORDLIKE = re.compile(BROKEN), re.compile(REST), re.com
 _SIGNS = str.maketrans(X.LIGATURES)
 
 
-def _word_at_end(x: Column) -> Column:
-    return F.regexp_extract(x, "([A-Za-z]{2,})-$", 1)
-
-
-def _word_at_start(x: Column) -> Column:
-    return F.regexp_extract(X.strip(x), "^([A-Za-z]+)", 1)
-
-
 def listed(joined: str, words: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """rows with ``name``: whether the word in column ``joined`` is in the list (column word); '' is in none."""
     known = words.select(F.lower("word").alias("_word")).where("_word <> ''").distinct().withColumn(name, F.lit(True))
     return rows.join(known, F.lower(joined) == F.col("_word"), "left").drop("_word").na.fill({name: False})
 
 
+def walked(lines: list[str], before: str | None, after: str | None, fits: Callable[[str], bool]) -> list[tuple[str, str | None]]:
+    """For each printed line of a page the line after rule R4 and the log's text, null where nothing was joined.
+
+    ``before`` and ``after`` are the printed lines around the page. A line that gives its only word away
+    is empty and has nothing left to join.
+    """
+
+    def halves(a: str | None, b: str | None) -> tuple[str, re.Match] | None:
+        left, right = _LEFT.search(a or ""), _RIGHT.match((b or "").strip())
+        return (left[1], right) if left and right and fits(left[1] + right[1]) else None
+
+    out: list[tuple[str, str | None]] = []
+    taken = halves(before, lines[0]) if lines else None
+    for line, following in zip(lines, [*lines[1:], after]):
+        rest = line if taken is None else line.strip()[taken[1].end() :].lstrip()
+        taken = halves(rest, following)
+        if taken is None:
+            out.append((rest, None))
+        else:
+            left, right = taken
+            out.append((rest[:-1] + right[0], f"{left}- + {right[1]} -> {left}{right[0]}"))
+    return out
+
+
+JOINED = "issue string, page int, line_no int, line string, joined string"
+
+
 def dehyphenated(kept: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """issue, page, line_no, line (rule R4), joined (the log's text, null where nothing was joined).
 
-    Two halves make a word where the list (``words``, column word) holds it, or without a list, or with
-    an empty one, where it has the shape of one.
-
     A line that ends in a broken word takes the first word of the next line that isn't blank, with the
     signs behind it, if the two make a word; the next page's first line counts as next. A line of one
     word that the line before has taken has nothing left to join; such chains are followed in a page.
+    Two halves make a word where the list (``words``, column word) holds it, or without a list, or with an
+    empty one, where it has the shape of one. A page is one row, and its neighbours hand on one line each.
     """
-    w = Window.partitionBy(*KEYS).orderBy("line_no")
+    rows = kept.where("issue is not null and page is not null").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("line", F.lit("")).alias("line")))).alias("_lines"))
     printed = kept.where(X.strip(F.col("line")) != "")
     edges = printed.groupBy(*KEYS).agg(F.min_by("line", "line_no").alias("_first"), F.max_by("line", "line_no").alias("_last"))
-    pages = Window.partitionBy("issue").orderBy("page")  # one row per page
-    edges = edges.select(*KEYS, F.lead("_first").over(pages).alias("_page_after"), F.lag("_last").over(pages).alias("_page_before"))
-    rows = printed.join(edges, KEYS).withColumn("_after", F.coalesce(F.lead("line").over(w), "_page_after")).withColumn("_before", F.coalesce(F.lag("line").over(w), "_page_before"))
-
-    def whole(a: Column, b: Column) -> Column:
-        left, right = _word_at_end(a), _word_at_start(b)
-        return F.coalesce(F.when((left != "") & (right != ""), F.concat(left, right)), F.lit(""))
-
-    rows = rows.withColumn("_w", whole(F.col("line"), F.col("_after"))).withColumn("_prev_w", whole(F.col("_before"), F.col("line")))
-    if words is None or words.where("word <> ''").isEmpty():
-        rows = rows.withColumn("_can", X.looks_like_word(F.col("_w"))).withColumn("_prev_can", X.looks_like_word(F.col("_prev_w")))
-    else:
-        rows = listed("_prev_w", words, listed("_w", words, rows, "_can"), "_prev_can")
-    rows = rows.withColumn("_single", X.strip(F.col("line")).rlike(r"^[A-Za-z]+[^\sA-Za-z]*$"))
-    chain = F.col("_single") & F.col("_can")
-    rows = rows.withColumn("_chain", chain).withColumn("_run", F.sum(F.when(F.col("_chain"), 0).otherwise(1)).over(w))
-    in_run = Window.partitionBy(*KEYS, "_run").orderBy("line_no")
-    rows = rows.withColumn("_p", F.sum(F.when(F.col("_chain"), 1).otherwise(0)).over(in_run))
-    before_run = Window.partitionBy(*KEYS, "_run")
-    seed = F.max(F.when(~F.col("_chain"), F.col("_can")).otherwise(F.lit(False))).over(before_run)
-    first_run = (F.col("_run") == 0) & F.first("_prev_can").over(w)
-    odd = F.col("_p") % 2 == 1
-    started = F.when(F.col("_run") == 0, first_run).otherwise(seed)
-    rows = rows.withColumn("_fires", F.when(~F.col("_chain"), F.col("_can")).otherwise(F.when(odd, ~started).otherwise(started)))
-    page_last = F.col("_prev_can") & (F.row_number().over(w) == 1)
-    rows = rows.withColumn("_taken", F.coalesce(F.lag("_fires").over(w), page_last))
-    body = X.strip(F.col("line"))
-    rest = F.when(F.col("_taken"), F.regexp_replace(body, r"^[A-Za-z]+[^\sA-Za-z]*\s*", "")).otherwise(F.col("line"))
-    after = X.strip(F.col("_after"))
-    taken_word = F.regexp_extract(after, r"^([A-Za-z]+[^\sA-Za-z]*)", 1)
-    line = F.when(F.col("_fires") & (rest != ""), F.concat(F.regexp_replace(rest, "-$", ""), taken_word)).otherwise(rest)
-    log = F.when(F.col("_fires"), F.concat(_word_at_end(F.col("line")), F.lit("- + "), _word_at_start(F.col("_after")), F.lit(" -> "), _word_at_end(F.col("line")), taken_word))
-    done = rows.select(*KEYS, "line_no", line.alias("line"), log.alias("joined"))
-    return done.unionByName(kept.where(X.strip(F.col("line")) == "").select(*KEYS, "line_no", F.lit("").alias("line"), F.lit(None).cast("string").alias("joined")))
+    pages = Window.partitionBy("issue").orderBy("page")  # two lines a page
+    edges = edges.select(*KEYS, F.lag("_last").over(pages).alias("_before"), F.lead("_first").over(pages).alias("_after"))
+    rows = rows.join(edges, KEYS, "left")
+    by_list = words is not None and not words.where("word <> ''").isEmpty()
+    good = F.lit(None).cast("array<string>").alias("_good")
+    if by_list:
+        rows = cut(rows)
+        text = F.concat_ws("\n", F.col("_before"), F.array_join(F.filter(F.transform("_lines", lambda x: x["line"]), lambda x: X.strip(x) != ""), "\n"), F.col("_after"))
+        halves = rows.select(*KEYS, F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z]{2,}-\n\s*[A-Za-z]+"), F.lit(0))).alias("_pair"))
+        found = listed("_w", words, halves.select(*KEYS, F.regexp_replace("_pair", r"-\s+", "").alias("_w")).distinct(), "_ok").where("_ok")
+        rows = rows.join(found.groupBy(*KEYS).agg(F.collect_set(F.lower("_w")).alias("_good")), KEYS, "left")
+        good = F.col("_good")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for issue, page, lines, before, after, held in zip(b["issue"], b["page"], b["_lines"], b["_before"], b["_after"], b["_good"]):
+                fits = _member(held) if by_list else looks_whole
+                there = [x for x in lines if x["line"].strip()]
+                done = dict(zip((x["line_no"] for x in there), walked([x["line"] for x in there], before, after, fits)))
+                out += [(issue, page, x["line_no"], *done.get(x["line_no"], ("", None))) for x in lines]
+            yield pd.DataFrame(out, columns=["issue", "page", "line_no", "line", "joined"]).astype({"page": "int32", "line_no": "int32"})
+
+    return rows.select(*KEYS, "_lines", "_before", "_after", good).mapInPandas(walk, JOINED)
 
 
 def paragraphs(lines: DataFrame, keys: list[str] = KEYS) -> DataFrame:
