@@ -135,12 +135,20 @@ walk AS (
   SELECT issue, next_page, next_line, k + 1, CASE WHEN joins THEN ltrim(substr(after, length(taken) + 1)) ELSE line END, page, line_no, CASE WHEN joins THEN substr(now, 1, length(now) - 1) || taken ELSE now END,
     CASE WHEN joins THEN lft || '- + ' || regexp_extract(after, '^[A-Za-z]+') || ' -> ' || lft || taken END
   FROM (
-    SELECT *, regexp_extract(after, '^[A-Za-z]+[^\\sA-Za-z]*') AS taken, coalesce(lft <> '' AND regexp_matches(after, '^[A-Za-z]') AND regexp_full_match(lower(lft || regexp_extract(after, '^[A-Za-z]+')), '[a-z]{{2,20}}') AND regexp_matches(lower(lft || regexp_extract(after, '^[A-Za-z]+')), '[aeiouy]'), false) AS joins
+    SELECT *, regexp_extract(after, '^[A-Za-z]+[^\\sA-Za-z]*') AS taken, coalesce(lft <> '' AND regexp_matches(after, '^[A-Za-z]') AND {{IS_WORD}}, false) AS joins
     FROM (SELECT w.*, x.line, x.page AS next_page, x.line_no AS next_line, ltrim(x.line) AS after, regexp_extract(now, '([A-Za-z]{{2,}})-$', 1) AS lft FROM walk w LEFT JOIN flow x ON x.issue = w.issue AND x.k = w.k + 1 WHERE w.page IS NOT NULL)
   )
 ),
 joins AS (SELECT issue, from_page AS page, from_line AS line_no, done AS line, joined FROM walk WHERE k > 1)
 """
+#: Whether two halves make a word: by its shape, or by the list of all words of the articles.
+SHAPE_SQL = "regexp_full_match(lower(lft || regexp_extract(after, '^[A-Za-z]+')), '[a-z]{2,20}') AND regexp_matches(lower(lft || regexp_extract(after, '^[A-Za-z]+')), '[aeiouy]')"
+LISTED_SQL = "listed AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM articles)"
+MEMBER_SQL = "lower(lft || regexp_extract(after, '^[A-Za-z]+')) IN (SELECT word FROM fitting)"
+#: Of the list the words that any line's end makes with the next line's beginning.
+FITTING_SQL = "fitting AS MATERIALIZED (SELECT DISTINCT word FROM listed WHERE word IN (SELECT lower(regexp_extract(a.line, '([A-Za-z]{2,})-$', 1) || regexp_extract(ltrim(b.line), '^[A-Za-z]+')) FROM flow a JOIN flow b ON b.issue = a.issue AND b.k = a.k + 1))"
+WALK_LISTED_SQL = LISTED_SQL + ", " + WALK_SQL.replace("{IS_WORD}", MEMBER_SQL).replace("\nwalk AS (", f"\n{FITTING_SQL},\nwalk AS (")
+WALK_SQL = WALK_SQL.replace("{IS_WORD}", SHAPE_SQL)
 
 
 @REGISTRY.add("dehyphenate", f"WITH RECURSIVE {WALK_SQL} SELECT issue, page, line_no, joined FROM joins WHERE joined IS NOT NULL")
@@ -149,6 +157,13 @@ def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.dehyphenated(marked.where("rule is null").select("issue", "page", "line_no", "line")).where("joined is not null").select("issue", "page", "line_no", "joined")
 
 
+@REGISTRY.add("dehyphenate_listed", f"WITH RECURSIVE {WALK_LISTED_SQL} SELECT issue, page, line_no, joined FROM joins WHERE joined IS NOT NULL")
+def dehyphenate_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule R4 where a list says what is a word: here all words of the articles."""
+    marked = rules.marked_lines(page_lines(spark, sf_dir))
+    return rules.dehyphenated(marked.where("rule is null").select("issue", "page", "line_no", "line"), _article_words(spark, sf_dir)).where("joined is not null").select("issue", "page", "line_no", "joined")
+
+
 @REGISTRY.add("para_unwrap", r"""
 WITH l AS (SELECT doc_id, i AS line_no, p[i] AS line FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL))),
 s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM l),
@@ -314,8 +329,11 @@ r AS (SELECT doc_id, round(sum(CASE WHEN w.word IS NOT NULL THEN 1 ELSE 0 END) /
 SELECT d.doc_id, coalesce(rate, 0.0) AS rate FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN r USING (doc_id)
 """)
 def dict_word_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = table(spark, sf_dir, "articles").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
-    return reports.dictionary_rate(table(spark, sf_dir, "documents"), ["doc_id"], listed)
+    return reports.dictionary_rate(table(spark, sf_dir, "documents"), ["doc_id"], _article_words(spark, sf_dir))
+
+
+def _article_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "articles").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
 
 
 @REGISTRY.add("cer_lines", r"""
