@@ -171,6 +171,40 @@ def coverage(regions: DataFrame, articles: DataFrame) -> DataFrame:
     return pages.join(held, ["issue", "page"], "left").groupBy("issue").agg(F.count("*").alias("n_pages"), F.sum(F.coalesce("_held", F.lit(0))).alias("n_covered"))
 
 
+BY_LINE = r"^\s*[Bb]y\s+([A-Z][\w. ]+)"
+
+
+def shared_pages(articles: DataFrame, regions: DataFrame) -> DataFrame:
+    """issue, page, earlier_id, later_id: stories of which one ends on the page where the other begins, with no by-line between them.
+
+    Two such stories are one continuous text, so each row is a fault to review. Stories on one page only are no case.
+    """
+    stories = articles.where("art_type = 'story' and size(pages) > 0").select("issue", "article_id", F.array_min("pages").alias("_first"), F.array_max("pages").alias("_last"))
+    ends = stories.where("_first < _last").select("issue", F.col("_last").alias("page"), F.col("article_id").alias("earlier_id"))
+    begins = stories.select("issue", F.col("_first").alias("page"), F.col("article_id").alias("later_id"))
+    signed = regions.where(F.col("text").rlike(BY_LINE)).select("issue", "page").distinct()
+    return ends.join(begins, ["issue", "page"]).where("earlier_id <> later_id").join(signed, ["issue", "page"], "left_anti").distinct()
+
+
+def lost_in_span(regions: DataFrame, articles: DataFrame) -> DataFrame:
+    """issue, page, region_order, label: regions with text between a story's first and last page that belong to nothing."""
+    stories = articles.where("art_type = 'story' and size(pages) > 0").select("issue", F.explode(F.sequence(F.array_min("pages"), F.array_max("pages"))).alias("page")).distinct()
+    return unclaimed(regions, articles).join(stories, ["issue", "page"], "left_semi")
+
+
+def chapter_headings(units: DataFrame) -> DataFrame:
+    """issue, page, region_order, role of the headings that stay in an open story: no by-line below them, and a work before them.
+
+    The role is chapter_number for a number, with or without the word, and chapter_title for any other.
+    """
+    fragments = units.where("kind = 'fragment'")
+    first = fragments.groupBy("issue").agg(F.min(F.struct("page", "unit_no")).alias("_start"))
+    heads = fragments.where("not continues").groupBy("issue", "page", "unit_no").agg(F.min("region_order").alias("region_order"), F.max("title").alias("title"), F.max("author").alias("author"))
+    inside = heads.join(first, "issue").where(F.col("author").isNull() & (F.struct("page", "unit_no") > F.col("_start")))
+    number = F.lower(X.strip(F.col("title"))).rlike(r"^(chapter\s+)?([ivxlc]+|\d+)\.?$")
+    return inside.select("issue", "page", "region_order", F.when(number, "chapter_number").otherwise("chapter_title").alias("role"))
+
+
 def contents_entries(pages: DataFrame) -> DataFrame:
     """issue, page, line_no, title, author, start_page: the entries of contents pages.
 

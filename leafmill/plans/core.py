@@ -648,6 +648,34 @@ def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.coverage(table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "articles"))
 
 
+@REGISTRY.add("shared_pages", r"""
+WITH s AS (SELECT issue, article_id, list_min(pages) AS f, list_max(pages) AS l FROM articles WHERE art_type = 'story' AND len(pages) > 0)
+SELECT DISTINCT a.issue, a.l AS page, a.article_id AS earlier_id, b.article_id AS later_id FROM s a JOIN s b ON b.issue = a.issue AND b.f = a.l AND b.article_id <> a.article_id
+WHERE a.f < a.l AND NOT EXISTS (SELECT 1 FROM layout_regions r WHERE r.issue = a.issue AND r.page = a.l AND regexp_matches(r.text, '^\s*[Bb]y\s+([A-Z][\w. ]+)'))
+""")
+def shared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.shared_pages(table(spark, sf_dir, "articles"), table(spark, sf_dir, "layout_regions"))
+
+
+@REGISTRY.add("lost_in_span", f"""
+WITH {CLAIMS_SQL}, s AS (SELECT issue, list_min(pages) AS f, list_max(pages) AS l FROM articles WHERE art_type = 'story' AND len(pages) > 0)
+SELECT DISTINCT issue, page, region_order, label FROM layout_regions l WHERE text IS NOT NULL AND text <> '' AND regexp_replace(lower(label), '[^a-z]', '', 'g') NOT IN {DROPPED}
+AND NOT EXISTS (SELECT 1 FROM claims c WHERE c.issue = l.issue AND c.page = l.page AND c.region_order = l.region_order) AND EXISTS (SELECT 1 FROM s WHERE s.issue = l.issue AND l.page BETWEEN s.f AND s.l)
+""")
+def lost_in_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.lost_in_span(table(spark, sf_dir, "layout_regions"), table(spark, sf_dir, "articles"))
+
+
+@REGISTRY.add("chapter_headings", f"""
+WITH {UNITS_SQL}, f AS (SELECT issue, min((page, unit_no)) AS start_at FROM units WHERE kind = 'fragment' GROUP BY issue),
+h AS (SELECT issue, page, unit_no, min(region_order) AS region_order, max(title) AS title, max(author) AS author FROM units WHERE kind = 'fragment' AND NOT "continues" GROUP BY ALL)
+SELECT h.issue, page, region_order, CASE WHEN regexp_full_match(lower(regexp_replace(title, '^\\s+|\\s+$', '', 'g')), '(chapter\\s+)?([ivxlc]+|\\d+)\\.?') THEN 'chapter_number' ELSE 'chapter_title' END AS role
+FROM h JOIN f ON f.issue = h.issue WHERE author IS NULL AND (page, unit_no) > start_at
+""")
+def chapter_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.chapter_headings(assembly.page_units(table(spark, sf_dir, "layout_regions")))
+
+
 @REGISTRY.add("issue_census", "SELECT issue, count(*) AS n_articles, sum(CASE WHEN art_type = 'ad' THEN 1 ELSE 0 END) AS n_ads, count(DISTINCT art_type) AS n_types, count(title) AS n_titled, count(author) AS n_signed FROM articles GROUP BY issue")
 def issue_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "articles").groupBy("issue").agg(F.count("*").alias("n_articles"), F.count_if(F.col("art_type") == "ad").alias("n_ads"), F.count_distinct("art_type").alias("n_types"), F.count("title").alias("n_titled"), F.count("author").alias("n_signed"))

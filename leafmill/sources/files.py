@@ -144,7 +144,7 @@ def ocr_regions(pages: DataFrame, ocr: str = "ocr") -> DataFrame:
             o["blocks"],
             lambda b, i: F.struct(
                 F.coalesce(b["label"], F.lit("Text")).alias("label"), F.coalesce(b["bbox"], F.array(*[F.lit(0.0)] * 4)).alias("bbox"), i.alias("region_order"),
-                F.round(F.coalesce(b["confidence"], F.lit(0.0)), 3).alias("conf"), X.html_to_text(F.coalesce(F.nullif(b["html"], F.lit("")), b["text"])).alias("text"),
+                F.round(F.coalesce(b["confidence"], F.lit(0.0)), 3).alias("conf"), F.coalesce(F.nullif(b["html"], F.lit("")), b["text"], F.lit("")).alias("text"), F.lit(True).alias("markup"),
                 F.array().cast("array<struct<bbox:array<double>,text:string,conf:double>>").alias("lines"), F.coalesce(b["skipped"], F.lit(False)).alias("skipped"),
             ),
         ),
@@ -154,11 +154,13 @@ def ocr_regions(pages: DataFrame, ocr: str = "ocr") -> DataFrame:
     whole = F.array(
         F.struct(
             F.lit("Text").alias("label"), F.coalesce(o["image_bbox"], F.array(*[F.lit(0.0)] * 4)).alias("bbox"), F.lit(0).alias("region_order"), F.lit(0.0).alias("conf"),
-            F.array_join(F.transform(lines, lambda t: t["text"]), "\n").alias("text"), lines.alias("lines"), F.lit(False).alias("skipped"),
+            F.array_join(F.transform(lines, lambda t: t["text"]), "\n").alias("text"), F.lit(False).alias("markup"), lines.alias("lines"), F.lit(False).alias("skipped"),
         )
     )
     regions = F.when(o["blocks"].isNotNull(), block).when(o["text_lines"].isNotNull(), whole).otherwise(F.raise_error(F.lit("a page of no known schema")))
-    return pages.select("issue", "page", F.explode(regions).alias("r")).select("issue", "page", "r.region_order", "r.label", "r.bbox", "r.conf", "r.text", "r.lines")
+    rows = pages.select("issue", "page", F.explode(regions).alias("r")).select("issue", "page", "r.*")
+    text = F.when(F.col("markup"), X.html_to_text(F.when(F.col("markup"), F.col("text")))).otherwise(F.col("text"))
+    return rows.select("issue", "page", "region_order", "label", "bbox", "conf", text.alias("text"), "lines")
 
 
 def number_pages(files: DataFrame) -> DataFrame:
