@@ -45,6 +45,10 @@ def has_mixed_word(text: str) -> bool:
     return _WORD.search(text.translate(_PLAIN)) is not None
 
 
+#: Characters that the consistent form may replace; a text without any is only composed.
+_ODD = frozenset(map(chr, _PLAIN)) | {chr(c) for a, b in zip(_OTHER[::3], _OTHER[2::3]) for c in range(ord(a), ord(b) + 1)}
+
+
 class Table(NamedTuple):
     """Prototypes of look-alike characters, and the Latin letters that letters of other alphabets stand for."""
 
@@ -86,9 +90,10 @@ def unicode_table(spark: SparkSession) -> Table:
 def consistent_form(text: str | None, table: Table = OWN) -> str | None:
     if text is None or text.isascii():
         return text
-    text = text.translate(_PLAIN)
-    text = _WORD.sub(lambda m: m[0].translate(table.letters), text)
-    return unicodedata.normalize("NFC", text)
+    if not _ODD.isdisjoint(text):
+        text = text.translate(_PLAIN)
+        text = _WORD.sub(lambda m: m[0].translate(table.letters), text)
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def skeleton_form(text: str | None, table: Table = OWN) -> str | None:
