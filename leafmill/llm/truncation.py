@@ -1,8 +1,11 @@
 """Problem 3: replies that stopped before the page was complete.
 
-Copies of one page are its stages' texts: they meet by (issue, page), equal folded texts are taken as one
-class, every pair is verified and aligned word by word, and the copy whose alignment ends early was cut,
-however little of it was kept. All candidates are there by the key, so no banding is needed to find them.
+Copies of one page are its stages' texts and the near-copies that stand under other keys, as in a bound
+volume. The first meet by (issue, page), equal folded texts are taken as one class, every pair is verified
+and aligned word by word, and the copy whose alignment ends early was cut, however little of it was kept.
+The others meet by min-hash bands, for every text whose end no copy of its own page bears out; as another
+printing may have other page breaks, such a copy must begin where the text begins, and what it has beyond
+the text's end must not stand overleaf.
 Where the cut text was not kept (accepted is false), no alignment can see it and the record itself tells:
 its tokens stand at the limit of its model, or are as many fewer than the page needs as its similarity to
 the page says; ``reason`` says for each row which it was. A text without any verified copy is scored by
@@ -19,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +34,19 @@ from leafmill.session import cut
 MISSING = 0.025
 #: A closing word that ends a sentence less often than this is no ending.
 TERMINAL = 0.5
+#: Share of a near-copy's letters that may stand before the text begins in it.
+HEADROOM = 0.1
 _WORDS = re.compile(r"\w+")
 
 
-def ends_early(a: str, b: str, missing: float = MISSING) -> bool:
-    """Whether the alignment of a with its longer copy b ends at a's end but well before b's."""
-    x, y = list(_WORDS.finditer(a.lower())), list(_WORDS.finditer(b.lower()))
+def rest_of(a: str, b: str, missing: float = MISSING) -> str:
+    """What b has, in lower case, beyond a's end, if the alignment of a with its longer copy b ends well before b's end."""
+    a, b = a.lower(), b.lower()
+    x, y = list(_WORDS.finditer(a)), list(_WORDS.finditer(b))
     u, v = [m[0] for m in x], [m[0] for m in y]
     whole = sum(map(len, v))
     if len(u) < 4 or len(v) <= 4 or sum(map(len, u)) > whole * (1 - 0.8 * missing):
-        return False
+        return ""
     at: dict[tuple[str, ...], list[int]] = {}
     for k in range(len(v) - 2):
         at.setdefault(tuple(v[k : k + 3]), []).append(k + 3)
@@ -50,40 +57,78 @@ def ends_early(a: str, b: str, missing: float = MISSING) -> bool:
             stop = min(places, key=lambda p: abs(p - end))
             stop = min(len(v), stop + back)
             rest = sum(map(len, v[stop:]))
-            return rest >= max(missing * whole, 3)
-    return False
+            return b[y[stop].start() :] if rest >= max(missing * whole, 3) else ""
+    return ""
+
+
+def ends_early(a: str, b: str, missing: float = MISSING) -> bool:
+    """Whether the alignment of a with its longer copy b ends at a's end but well before b's."""
+    return bool(rest_of(a, b, missing))
+
+
+def stops_short(a: str, b: str, overleaf: list[str]) -> bool:
+    """Whether a, a page's text, was cut by the witness of b, a near-copy under another key.
+
+    a stands in b, both begin together, b goes on, and not with what a's printed page has ``overleaf``.
+    """
+    rest = rest_of(a, b)
+    if not rest or neardup.coverage(neardup.folded_words(a), neardup.folded_words(b)) < neardup.SHARED or ends_early(a[::-1], b[::-1], HEADROOM):
+        return False
+    codes = neardup.folded_words(rest)
+    size = min(neardup.SHINGLE, len(codes))
+    return size > 0 and all(neardup.coverage(codes, neardup.folded_words(t), size) < neardup.SHARED for t in overleaf)
 
 
 _LAST = re.compile(r"([^\W\d_]+)[\W\d_]*$")
 _CLOSED = re.compile(r"[.!?][\"'”’)\]]*\s*$")
-EVIDENCE = "issue string, page int, stage string, matched boolean, early boolean, n_chars int, word string, open_end boolean"
+EVIDENCE = "issue string, page int, stage string, doc long, matched boolean, early boolean, sought boolean, n_chars int, word string, open_end boolean, bands array<long>"
+KEYS = "issue string, stage string, page int"
 
 
-def page_evidence(texts: list[str]) -> list[tuple[bool, bool]]:
-    """For each text of a page: whether another one is a verified copy, and whether it ends before such a copy."""
-    codes = [neardup.folded_words(t) for t in texts]
+def page_evidence(texts: list[str], codes: list[np.ndarray]) -> list[tuple[bool, bool, bool]]:
+    """For each text of a page: whether another one is a verified copy, whether it ends before such a copy, whether one ends with it."""
     keys = [c.tobytes() if len(c) else t for c, t in zip(codes, texts)]
     first = {k: i for i, k in reversed(list(enumerate(keys)))}
-    seen = {k: [keys.count(k) > 1, False] for k in first}
+    seen = {k: [keys.count(k) > 1, False, keys.count(k) > 1] for k in first}
     reps = sorted(first.values())
     for n, i in enumerate(reps):
         for j in reps[n + 1 :]:
             if max(neardup.coverage(codes[i], codes[j]), neardup.coverage(codes[j], codes[i])) >= neardup.SHARED:  # the shorter one stands in the longer
                 a, b = seen[keys[i]], seen[keys[j]]
                 a[0] = b[0] = True
-                a[1] |= ends_early(texts[i], texts[j])
-                b[1] |= ends_early(texts[j], texts[i])
-    return [(seen[k][0], seen[k][1]) for k in keys]
-
-
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                short, long = ends_early(texts[i], texts[j]), ends_early(texts[j], texts[i])
+                a[1] |= short
+                b[1] |= long
+                if not short and not long:
+                    a[2] = b[2] = True
+    return [tuple(seen[k]) for k in keys]
+
+
+def _compare(bands: int, rows: int):
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signature = neardup.circulant(bands, rows)
+        for b in batches:
+            out = []
+            for issue, page, copies in zip(b["issue"], b["page"], b["copies"]):
+                texts = [c["text"] for c in copies]
+                codes = [neardup.folded_words(t) for t in texts]
+                signed = set()
+                for c, code, (matched, early, held) in zip(copies, codes, page_evidence(texts, codes)):
+                    last = _LAST.search(c["text"])
+                    own = None  # a class of the page is signed once
+                    if len(code) and code.tobytes() not in signed:
+                        signed.add(code.tobytes())
+                        own = signature.bands(neardup.shingles(code))
+                    out.append((issue, page, c["stage"], c["doc"], matched, early, own is not None and not early and not held, len(c["text"]), last[1].lower() if last else "", _CLOSED.search(c["text"]) is None, own))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVIDENCE.split(", ")]).astype({"page": "Int32", "doc": "int64", "matched": bool, "early": bool, "sought": bool, "n_chars": "int32", "open_end": bool})
+
+    return compare
+
+
+def _witnessed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = []
-        for issue, page, copies in zip(b["issue"], b["page"], b["copies"]):
-            for c, (matched, early) in zip(copies, page_evidence([c["text"] for c in copies])):
-                last = _LAST.search(c["text"])
-                rows.append((issue, page, c["stage"], matched, early, len(c["text"]), last[1].lower() if last else "", _CLOSED.search(c["text"]) is None))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in EVIDENCE.split(", ")]).astype({"page": "Int32", "matched": bool, "early": bool, "n_chars": "int32", "open_end": bool})
+        short = [stops_short(t, other, [] if overleaf is None else list(overleaf)) for t, other, overleaf in zip(b["text"], b["other"], b["overleaf"])]
+        yield b.loc[short, ["issue", "stage", "page"]]
 
 
 def closing_words(pages: DataFrame) -> DataFrame:
@@ -93,15 +138,39 @@ def closing_words(pages: DataFrame) -> DataFrame:
     return words.groupBy(letters.alias("word")).agg(F.avg(F.when(F.col("_w").rlike(r"[.!?]$"), 1.0).otherwise(0.0)).alias("terminality"))
 
 
+def cut_elsewhere(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """issue, stage, page of the texts that a near-copy under another key shows to be cut.
+
+    Sought are only texts whose end no copy of their own page bears out, so a page that stands in many
+    issues is compared with as many copies as such texts, not all with all. One common band is enough, as
+    what is kept of a cut reply may be little; every candidate is verified.
+    """
+    bands = seen.where("bands is not null").select("issue", "page", "doc", "sought", F.explode("bands").alias("band"))
+    mine = bands.where("sought and issue is not null and page is not null").select(F.col("issue").alias("_issue"), F.col("page").alias("_page"), F.col("doc").alias("doc_a"), "band")
+    other_page = ~(F.col("issue").eqNullSafe(F.col("_issue")) & F.col("page").eqNullSafe(F.col("_page")))
+    pairs = cut(mine.join(bands, "band").where(other_page).select("doc_a", F.col("doc").alias("doc_b")).distinct())
+    texts = rows.select("issue", "stage", "page", "text", F.xxhash64("issue", "stage", "page", "text").alias("doc"))
+    both = pairs.join(texts.withColumnRenamed("doc", "doc_a"), "doc_a").join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("other")), "doc_b")
+    wanted = texts.withColumnRenamed("doc", "doc_a").join(pairs, "doc_a", "left_semi").select("issue", "page").distinct()
+    after = rows.select("issue", (F.col("page") - 1).alias("page"), "text").join(wanted, ["issue", "page"], "left_semi").groupBy("issue", "page").agg(F.collect_set("text").alias("overleaf"))
+    return both.join(after, ["issue", "page"], "left").select("issue", "stage", "page", "text", "other", "overleaf").mapInPandas(_witnessed, KEYS).distinct()
+
+
 def text_evidence(pages: DataFrame) -> DataFrame:
-    """Rows of EVIDENCE for every page with a text, cut from its lineage; texts are shuffled once, by page, and go no further.
+    """issue, page, stage, matched, early, n_chars, word, open_end of every page with a text, cut from its lineage.
 
-    A page has as many texts as stages.
+    A page has as many texts as stages; they are shuffled once, by page, compared and signed. Of the other
+    texts only those go further that share a band with one whose end no copy of its own page bears out.
     """
-    rows = pages.where("text is not null and text <> ''")
-    copies = rows.groupBy("issue", "page").agg(F.collect_set(F.struct("stage", "text")).alias("copies"))  # exact copies fall together in the one shuffle
-    seen = copies.mapInPandas(_compare, EVIDENCE)
-    return cut(seen.groupBy("issue", "page", "stage").agg(F.max("matched").alias("matched"), F.max("early").alias("early"), F.max("n_chars").alias("n_chars"), F.max_by("word", F.struct("open_end", "n_chars")).alias("word"), F.max("open_end").alias("open_end")))
+    rows = pages.where("text is not null and text <> ''").select("issue", "stage", "page", "text")
+    doc = F.xxhash64("issue", "stage", "page", "text").alias("doc")
+    copies = rows.groupBy("issue", "page").agg(F.collect_set(F.struct("stage", "text", doc)).alias("copies"))  # exact copies fall together in the one shuffle
+    seen = cut(copies.mapInPandas(_compare(*neardup.banding(pages.count())), EVIDENCE))
+    per_key = seen.groupBy("issue", "page", "stage").agg(F.max("matched").alias("matched"), F.max("early").alias("early"), F.max("n_chars").alias("n_chars"), F.max_by("word", F.struct("open_end", "n_chars")).alias("word"), F.max("open_end").alias("open_end"))
+    elsewhere = cut_elsewhere(rows, seen).withColumn("_short", F.lit(True))
+    short = F.coalesce("_short", F.lit(False))
+    out = per_key.join(elsewhere, ["issue", "stage", "page"], "left").withColumns({"matched": F.col("matched") | short, "early": F.col("early") | short})
+    return cut(out.select("issue", "page", "stage", "matched", "early", "n_chars", "word", "open_end"))
 
 
 def limits(calls: DataFrame, least: int = 3, times: float = 5.0) -> DataFrame:

@@ -175,6 +175,23 @@ def test_replies_cut_early_after_a_sentence(spark):
     assert {(r.page, r.reason) for r in truncation.cut_replies(m, p).collect()} == {(k, "alignment") for k in range(6)}
 
 
+def test_replies_cut_early_by_copies_under_other_keys(spark):
+    words = [_text(200 + k, 160).split() for k in range(8)]
+    text = lambda k, a, b: " ".join(words[k][a:b]) + "."
+    pages = [("volume", "rules_routeA", 30 + k, text(k, 0, 160)) for k in range(8)]
+    # alone under its key and cut after a sentence; with two replies, both cut; whole
+    pages += [("i", "routeB", 10, text(0, 0, 90)), ("i", "routeB", 20, text(1, 0, 110)), ("i", "llm_x_routeA", 20, text(1, 0, 80)), ("i", "routeB", 30, text(2, 0, 160))]
+    # other page breaks: it goes on overleaf; it begins within the other page
+    pages += [("i", "routeB", 40, text(3, 0, 100)), ("i", "routeB", 41, text(3, 100, 160) + " " + text(7, 0, 60)), ("i", "routeB", 50, text(4, 40, 130))]
+    # a text that its own page's source ends with is not sought elsewhere
+    pages += [("i", "routeB", 60, text(5, 0, 100)), ("i", "rules_routeA", 60, text(5, 0, 100)), ("i", "routeB", 70, text(6, 0, 150)[:-1])]
+    meta = [("i", stage, page, "m", None, 100 + page, None, None, None) for i, stage, page, _ in pages if i == "i" and stage != "rules_routeA"]
+    m = spark.createDataFrame(meta, "issue string, stage string, page int, model string, out_tokens long, completion_tokens long, similarity double, accepted boolean, error string")
+    p = spark.createDataFrame(pages + pages[:9], "issue string, stage string, page int, text string")
+    got = {(r.stage, r.page, r.reason) for r in truncation.cut_replies(m, p).collect()}
+    assert got == {(s, n, "alignment") for s, n in [("routeB", 10), ("routeB", 20), ("llm_x_routeA", 20), ("routeB", 70)]}
+
+
 # ---- problem 5 ----
 FORMS = [(w, n, 0.7) for w, n in {"returned": 900, "the": 9000, "silver": 300, "morning": 400, "clock": 200, "deck": 200, "sun-bleached": 300, "furious": 250, "eclipse": 200, "carpet": 300, "fell": 40, "tell": 1000}.items()]
 
