@@ -132,8 +132,8 @@ def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, regions, joins = _scanned(spark, sf_dir)
     forms, rare = scans.forms_of(docs.select("text").unionByName(regions.select("text")))
-    heads = scans.heads_of(table(spark, sf_dir, "pilot_issues"))
-    return scans.find_defects(docs.unionByName(regions).unionByName(joins), heads, forms, rare).distinct()
+    heads, names = scans.heads_of(table(spark, sf_dir, "pilot_issues"))
+    return scans.find_defects(docs.unionByName(regions).unionByName(joins), heads, forms, rare, names).distinct()
 
 
 @REGISTRY.add("p5_paragraphs")
@@ -142,7 +142,8 @@ def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, regions, joins = _scanned(spark, sf_dir)
     forms, rare = scans.forms_of(docs.select("text").unionByName(regions.select("text")))
     records = docs.unionByName(regions).distinct().withColumn("record_key", F.concat_ws("/", "source_table", "record_key"))  # one key over both tables
-    text = scans.reflow(scans.repaired_lines(records, scans.heads_of(table(spark, sf_dir, "pilot_issues")), forms, rare))
+    heads, names = scans.heads_of(table(spark, sf_dir, "pilot_issues"))
+    text = scans.reflow(scans.repaired_lines(records, heads, forms, rare, names))
     source = F.substring_index("record_key", "/", 1)
     paragraphs = text.select(source.alias("source_table"), F.expr("substr(record_key, instr(record_key, '/') + 1)").alias("record_key"), "text")
     return paragraphs.unionByName(scans.right_joins(joins.distinct(), forms, rare))

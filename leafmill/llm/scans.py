@@ -9,15 +9,16 @@ SQL windows.
 
 The frequent forms are all that are used five times or more. As many of them as a worker can hold are sent
 once to each executor; where there are more, the rarer ones meet the records by a join on the strokes of
-their glyphs, so the result does not depend on the size. Null and empty texts have no lines and no
-defects. Exact duplicate rows count once.
+their glyphs, so the result does not depend on the size. So it is with the magazines' names: those that
+no worker holds meet the lines that look like heads by a join on parts of both. Null and empty texts have
+no lines and no defects. Exact duplicate rows count once.
 """
 
 from __future__ import annotations
 
 import re
 from collections import ChainMap
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from leafmill.llm.confusables import consistent_form
 from leafmill.session import cut
 
-#: A frequent form has at least this count; at most so many forms are sent to the workers.
+#: A frequent form has at least this count; at most so many forms, and as many names, are sent to the workers.
 LEAST, MOST_FORMS = 5, 300_000
 #: A form with more than this share of its likely source's count is a word of its own.
 RARE = 0.05
@@ -233,31 +234,66 @@ def fold_head(line: str) -> str:
     return "".join(c for c in consistent_form(line).lower() if c.isalnum() or c == "|").translate(_CLASS)
 
 
+def _most_unlike(length: int) -> int:
+    """In how many places two close names of that length may differ."""
+    return max(1, length // 6) if length > 5 else 0
+
+
 def _close(a: str, b: str) -> bool:
-    """Equal but for one glyph in eight, places kept."""
-    return a == b or len(a) == len(b) > 5 and sum(x != y for x, y in zip(a, b)) <= max(1, len(a) // 6)
+    """Equal but for one glyph in six, places kept."""
+    return a == b or len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= _most_unlike(len(a))
+
+
+def parts_of(key: str) -> list[str]:
+    """Parts of a folded name with its length and their places, one more than close names have differences: these share one at least."""
+    n = _most_unlike(len(key)) + 1
+    at = [len(key) * k // n for k in range(n + 1)]
+    return [f"{len(key)}/{k}/{key[at[k] : at[k + 1]]}" for k in range(n)]
+
+
+def may_be_head(line: str) -> str:
+    """The line without its margins if it has the shape of a head, else ''."""
+    s = line.strip()
+    return "" if not 4 < len(s) <= 160 or s[-1] in ".,;:!?\"”" or _LOWER.search(s) else s
+
+
+def head_keys(s: str) -> set[str]:
+    """The folded names that a line of the shape of a head may stand for, with and without its numbers."""
+    keys = {fold_head(_FRAME.sub("", s)), fold_head(s), fold_head(re.sub(r"[\W_]*\d{1,4}[\W_]*$", "", s)), fold_head(re.sub(r"^[\W_]*\d{1,4}[\W_]+", "", s))}
+    return {k for k in keys if len(k) > 3}
 
 
 class Heads:
     """Names that stand as heads: those of the magazines, and the story's own."""
 
-    def __init__(self, magazines: list[str]) -> None:
-        self.by_length: dict[int, list[str]] = {}
-        for m in {fold_head(m) for m in magazines}:
+    def __init__(self, magazines: Iterable[str], folded: Iterable[str] = ()) -> None:
+        self.by_part: dict[str, list[str]] = {}
+        self.near: frozenset[str] = frozenset()  # keys known to be close to names that are not held
+        for m in {fold_head(m) for m in magazines} | set(folded):
             if len(m) > 4:
-                self.by_length.setdefault(len(m), []).append(m)
+                for part in parts_of(m):
+                    self.by_part.setdefault(part, []).append(m)
+
+    def for_record(self, near) -> "Heads":
+        """These names with a record's keys that are close to one of the others."""
+        if near is None or not len(near):
+            return self
+        own = Heads(())
+        own.by_part, own.near = self.by_part, frozenset(near)
+        return own
+
+    def is_name(self, key: str) -> bool:
+        return key in self.near or any(_close(key, m) for part in parts_of(key) for m in self.by_part.get(part, ()))
 
     def is_head(self, line: str, title: str | None, alone: bool) -> bool:
         """Whether the line is a name; ``alone``: no capital lines stand around it, so it is no shouted sentence."""
-        s = line.strip()
-        if not 4 < len(s) <= 160 or s[-1] in ".,;:!?\"”" or _LOWER.search(s):
+        s = may_be_head(line)
+        if not s:
             return False
-        bare = _FRAME.sub("", s)
-        keys = {fold_head(bare), fold_head(s), fold_head(re.sub(r"[\W_]*\d{1,4}[\W_]*$", "", s)), fold_head(re.sub(r"^[\W_]*\d{1,4}[\W_]+", "", s))}
-        keys = {k for k in keys if len(k) > 3}
+        bare, keys = _FRAME.sub("", s), head_keys(s)
         if title and any(_close(k, t) for k in keys for t in (fold_head(title),)):
             return True
-        if any(_close(k, m) for k in keys for m in self.by_length.get(len(k), ())):
+        if any(map(self.is_name, keys)):
             return True
         letters = [c for c in bare if c.isalpha()]
         if len(letters) < 8 or re.match(rf"(?:{NO_HEADS})\b", bare.lower()):
@@ -458,10 +494,54 @@ def with_rare(records: DataFrame, keys: list[str], rare: DataFrame | None) -> Da
     return records.join(hits, keys, "left")
 
 
-def heads_of(issues: DataFrame, most: int = MOST_FORMS) -> Heads:
-    """The magazines' names, of the most frequent ``most``."""
-    names = issues.where("magazine is not null").groupBy("magazine").count().orderBy(F.desc("count"), "magazine").limit(most)
-    return Heads([r.magazine for r in names.select("magazine").collect()])
+@F.pandas_udf(T.StringType())
+def _folded(names: pd.Series) -> pd.Series:
+    return names.map(fold_head, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _parts(keys: pd.Series) -> pd.Series:
+    return keys.map(parts_of)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _keys_of_lines(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: sorted({k for line in t.split("\n") if (s := may_be_head(line)) for k in head_keys(s)}))
+
+
+@F.pandas_udf(T.BooleanType())
+def _are_close(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_close(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+def heads_of(issues: DataFrame, most: int = MOST_FORMS) -> tuple[Heads, DataFrame | None]:
+    """The magazines' names, and those beyond the most frequent ``most`` (column ``name``, folded like all of them), null where there are none.
+
+    The rest meets the records by a join (``with_near``), with the same result.
+    """
+    spelled = issues.where("magazine is not null").groupBy("magazine").agg(F.count("*").alias("_n"))
+    names = spelled.groupBy(_folded("magazine").alias("name")).agg(F.sum("_n").alias("_n")).where(F.length("name") > 4)
+    top = names.orderBy(F.desc("_n"), "name").limit(most + 1).collect()
+    heads = Heads((), [r.name for r in top[:most]])
+    if len(top) <= most:
+        return heads, None
+    first = top[most]  # of the rest
+    return heads, names.where((F.col("_n") < first._n) | ((F.col("_n") == first._n) & (F.col("name") >= first.name))).select("name")
+
+
+def with_near(records: DataFrame, keys: list[str], names: DataFrame | None) -> DataFrame:
+    """records with ``_near``: the keys of a record's lines that are close to one of ``names``; null without any.
+
+    Every different key is compared once, with the names that share a part with it, which all close ones do.
+    """
+    if names is None:
+        return records.withColumn("_near", F.lit(None).cast("array<string>"))
+    mine = records.where("text is not null").select(*keys, F.explode(_keys_of_lines("text")).alias("_k")).distinct()
+    split = lambda df, key: df.withColumn("_part", F.explode(_parts(key)))
+    pairs = split(mine.select("_k").distinct(), "_k").join(split(names.select("name"), "name"), "_part")
+    near = pairs.where(_are_close("_k", "name")).select("_k").distinct()
+    hits = mine.join(near, "_k", "left_semi").groupBy(*keys).agg(F.collect_set("_k").alias("_near"))
+    return records.join(hits, keys, "left")
 
 
 def masked_heads(records: DataFrame, keys: list[str], least: int = HEAD_NUMBERS) -> DataFrame:
@@ -488,11 +568,12 @@ def masked_heads(records: DataFrame, keys: list[str], least: int = HEAD_NUMBERS)
 DEFECTS = T.StructType([T.StructField("source_table", T.StringType()), T.StructField("record_key", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("defect", T.StringType())])
 
 
-def find_defects(records: DataFrame, heads: Heads, forms: Forms, rare: DataFrame | None = None) -> DataFrame:
+def find_defects(records: DataFrame, heads: Heads, forms: Forms, rare: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """source_table, record_key, line_no, defect of records (source_table, record_key, title, text).
 
     Heads are lines of a masked key that recurs with other numbers, and lines that are the magazine's or
     the story's name; other defects of a masked line are none. The forms are sent once to each executor.
+    ``rare`` and ``names`` are the forms and names that no worker holds.
     """
     held = records.sparkSession.sparkContext.broadcast((heads, forms))
 
@@ -501,17 +582,18 @@ def find_defects(records: DataFrame, heads: Heads, forms: Forms, rare: DataFrame
         status = Status(forms)
         for b in batches:
             rows = []
-            for source, key, title, text, more in zip(b["source_table"], b["record_key"], b["title"], b["text"], b["_rare"]):
+            for source, key, title, text, more, near in zip(b["source_table"], b["record_key"], b["title"], b["text"], b["_rare"], b["_near"]):
                 if not text:
                     continue
                 own, seen = for_record(forms, status, more)
                 if source == "change_log":
                     rows += [(source, key, 1, d) for d in joined_defect(text, own)]
                 else:
-                    rows += [(source, key, n, d) for n, d in defects_of(text, title if isinstance(title, str) else None, heads, own, seen)]
+                    rows += [(source, key, n, d) for n, d in defects_of(text, title if isinstance(title, str) else None, heads.for_record(near), own, seen)]
             yield pd.DataFrame(rows, columns=DEFECTS.names).astype({"line_no": "int32"})
 
-    ready = with_rare(records.select("source_table", "record_key", "title", "text"), ["source_table", "record_key"], rare)
+    ids = ["source_table", "record_key"]
+    ready = with_near(with_rare(records.select(*ids, "title", "text"), ids, rare), ids, names)
     found = ready.mapInPandas(find, DEFECTS)
     masked = masked_heads(records.where("source_table <> 'change_log'"), ["source_table", "record_key"])
     others = found.join(masked, ["source_table", "record_key", "line_no"], "left_anti")
@@ -547,7 +629,7 @@ def _repaired(text: str, title: str | None, heads: Heads, forms: Forms, status:
     return out
 
 
-def repaired_lines(records: DataFrame, heads: Heads, forms: Forms, rare: DataFrame | None = None) -> DataFrame:
+def repaired_lines(records: DataFrame, heads: Heads, forms: Forms, rare: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """record_key, line_no, line (misread words put right, broken ones whole), kind, indent, joins of every line."""
     held = records.sparkSession.sparkContext.broadcast((heads, forms))
 
@@ -556,11 +638,12 @@ def repaired_lines(records: DataFrame, heads: Heads, forms: Forms, rare: DataFra
         status = Status(forms)
         for b in batches:
             rows = []
-            for key, title, text, more in zip(b["record_key"], b["title"], b["text"], b["_rare"]):
-                rows += [(key, *line) for line in _repaired(text or "", title if isinstance(title, str) else None, heads, *for_record(forms, status, more))]
+            for key, title, text, more, near in zip(b["record_key"], b["title"], b["text"], b["_rare"], b["_near"]):
+                rows += [(key, *line) for line in _repaired(text or "", title if isinstance(title, str) else None, heads.for_record(near), *for_record(forms, status, more))]
             yield pd.DataFrame(rows, columns=LINES.names).astype({"line_no": "int32", "indent": bool, "joins": bool})
 
-    lines = with_rare(records.select("record_key", "title", "text"), ["record_key"], rare).mapInPandas(repair, LINES)
+    ready = with_near(with_rare(records.select("record_key", "title", "text"), ["record_key"], rare), ["record_key"], names)
+    lines = ready.mapInPandas(repair, LINES)
     # by record alone: the partitioning that reflow needs anyway, so the lines are shuffled once
     masked = masked_heads(records, ["record_key"]).groupBy("record_key").agg(F.collect_set("line_no").alias("_masked"))
     head = F.coalesce(F.array_contains("_masked", F.col("line_no")), F.lit(False))

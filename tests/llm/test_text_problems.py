@@ -239,6 +239,35 @@ def test_forms_that_workers_do_not_hold_change_nothing(spark, sf):
     assert results[0] == results[1] and len(results[0][0]) > 100
 
 
+def test_names_that_workers_do_not_hold_change_nothing(spark, sf):
+    issues = spark.read.parquet(f"{sf}/pilot_issues.parquet").select("magazine").unionByName(spark.createDataFrame([("Quiet Harbour Quarterly",), ("The Ember",), ("Ember",), ("",), (None,)], "magazine string"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("'documents' source_table", "cast(doc_id as string) record_key", "title", "text")
+    rows = [("a", "QU|ET HARB0UR QUARTERLY\nhe went home", "A Tale"), ("b", "14 Quiet Harbour Quarterly\nEM8ER\nhe went home\nTHE EMBER  7", "A Tale"), ("c", "Quiet Hxxxxur Qxxrterly", "A Tale"), ("d", None, None)]
+    records = docs.unionByName(spark.createDataFrame([("documents", k, title, text) for k, text, title in rows + rows[:1]], "source_table string, record_key string, title string, text string"))
+    forms = scans.Forms(FORMS, 5)
+    results = []
+    for most in (10**6, 1):
+        heads, names = scans.heads_of(issues, most)
+        assert (names is None) == (most > 1)
+        found = scans.find_defects(records, heads, forms, None, names).where("defect = 'running_head'")
+        lines = scans.repaired_lines(records, heads, forms, None, names).where("kind = 'head'").select("record_key", "line_no")
+        results.append([sorted(map(tuple, x.distinct().collect())) for x in (found, lines)])
+    assert results[0] == results[1] and len(results[0][0]) > 20
+    assert {(k, n) for _, k, n, _ in results[0][0] if k.isalpha()} == {("a", 1), ("b", 1), ("b", 2), ("b", 4)} == {(k, n) for k, n in results[1][1] if k.isalpha()}
+
+
+@given(st.text("abc", min_size=5, max_size=40), st.lists(st.tuples(st.integers(0, 39), st.sampled_from("abcd")), max_size=8))
+def test_close_names_share_a_part(name, slips):
+    other = list(name)
+    for at, glyph in slips:
+        other[at % len(name)] = glyph
+    other = "".join(other)
+    shared = set(scans.parts_of(name)) & set(scans.parts_of(other))
+    assert shared or not scans._close(name, other)
+    unlike = sum(a != b for a, b in zip(name, other))
+    assert scans._close(name, other) == (unlike == 0 or len(name) > 5 and unlike <= max(1, len(name) // 6))
+
+
 def test_words_with_many_masks():
     forms = scans.Forms([("illlilillil", 50, 0.9), ("morning", 900, 0.9)], 5)
     assert forms.truth("1l1l1l1ll1l") == "illlilillil"
